@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing
 
 QUERIES = {
+    "op6_mixing": mixing.query,
     "op9_exact_dedup": exact_dedup.query,
 }
 
 SQL = {
+    "op6_mixing": mixing.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
