@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, near_dedup
 
 QUERIES = {
     "op6_mixing": mixing.query,
+    "op8_near_dedup": near_dedup.query,
     "op9_exact_dedup": exact_dedup.query,
 }
 
 SQL = {
     "op6_mixing": mixing.SQL,
+    "op8_near_dedup": near_dedup.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
