@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 
@@ -32,6 +33,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free(df: DataFrame) -> None:
+    """Ask the session to let go of what finished steps left behind.
+
+    Spark deletes a shuffle's files when the plan that made them is garbage; on a driver with
+    little to do that can be long after the files fill the disks.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of links(a, b): returns (id, root) with the smallest id of each component.
 
