@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, near_dedup
+from . import exact_dedup, line_dedup, mixing, near_dedup, secrets
 
 QUERIES = {
     "op3_line_dedup": line_dedup.query,
+    "op4_secrets": secrets.query,
     "op6_mixing": mixing.query,
     "op8_near_dedup": near_dedup.query,
     "op9_exact_dedup": exact_dedup.query,
