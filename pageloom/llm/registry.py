@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, near_dedup, secrets, toxicity
+from . import exact_dedup, licenses, line_dedup, mixing, near_dedup, secrets, toxicity
 
 QUERIES = {
+    "op1_licenses": licenses.query,
     "op2_toxicity": toxicity.query,
     "op3_line_dedup": line_dedup.query,
     "op4_secrets": secrets.query,
