@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, line_dedup, mixing, near_dedup, secrets, toxicity
+from . import exact_dedup, licenses, line_dedup, mixing, near_dedup, neighbours, secrets, toxicity
 
 QUERIES = {
     "op1_licenses": licenses.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": line_dedup.query,
     "op4_secrets": secrets.query,
     "op6_mixing": mixing.query,
+    "op7_neighbours": neighbours.query,
     "op8_near_dedup": near_dedup.query,
     "op9_exact_dedup": exact_dedup.query,
 }
