@@ -20,6 +20,14 @@ def ship(module_name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
 
 
+def per_worker(key: tuple, make):
+    """make()'s result, made once in each Python process: functions shipped by value find it again in later tasks."""
+    store = sys.__dict__.setdefault("_pageloom_made", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the cluster's shared checkpoint folder and go on from there.
 

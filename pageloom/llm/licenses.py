@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import ship
+from .common import per_worker, ship
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -151,9 +151,6 @@ def _insert(taken: list[tuple[int, int]], s: int, e: int) -> None:
     insort(taken, (s, e))
 
 
-_scanner: list[Scanner] = []
-
-
 def lowered(text: str | None) -> str:
     """The text with A-Z in lower case and nothing else changed."""
     return (text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
@@ -161,10 +158,7 @@ def lowered(text: str | None) -> str:
 
 def scan(text: str | None, scanner: Scanner | None = None) -> tuple[int, list[tuple[int, int, str, int, bool, float]]]:
     """(number of words, [(first word, number of words, label, edits, base, score)]) of a text, by first word."""
-    if scanner is None:
-        if not _scanner:
-            _scanner.append(Scanner())
-        scanner = _scanner[0]
+    scanner = scanner or per_worker(("licenses", PHRASES), Scanner)
     words = WORD.findall(lowered(text))
     if not words:
         return 0, []

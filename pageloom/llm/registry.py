@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, line_dedup, mixing, near_dedup, neighbours, secrets, toxicity
+from . import exact_dedup, licenses, line_dedup, mixing, near_dedup, neighbours, pieces, secrets, toxicity
 
 QUERIES = {
+    "op10_pieces": pieces.query,
     "op1_licenses": licenses.query,
     "op2_toxicity": toxicity.query,
     "op3_line_dedup": line_dedup.query,
