@@ -89,6 +89,4 @@ def text(groups: Column, patch: Column) -> Column:
         return F.when(F.size(g) > 1, F.concat(F.lit("("), words, F.lit(")"))).otherwise(words)
 
     inner = F.array_join(F.transform(groups, said), " AND ")
-    wrapped = F.when(F.size(groups) == 0, F.lit("true")).otherwise(inner)
-    whole = F.when((F.size(groups) == 1) & (F.size(F.element_at(groups, 1)) > 1), inner).otherwise(F.concat(F.lit("("), wrapped, F.lit(")")))
-    return F.concat(F.lit("if "), F.when(F.size(groups) == 0, F.lit("(true)")).otherwise(whole), F.lit(" then p"), patch.cast("string"))
+    return F.concat(F.lit("if ("), F.when(F.size(groups) == 0, F.lit("true")).otherwise(inner), F.lit(") then p"), patch.cast("string"))
