@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import codec
 from ..operators import patches as pt
@@ -137,12 +138,12 @@ def e7(spark, sf_dir):
     return pt.table_diff(s.where("dataset = 'de'").drop("dataset"), s.where("dataset = 'fr'").drop("dataset"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_set(values: pd.Series) -> pd.Series:
     return values.map(lambda v: codec.encode_set([int(x) for x in v]))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def decode_set(data: pd.Series) -> pd.Series:
     return data.map(lambda b: codec.decode_set(b)[0])
 
@@ -156,7 +157,7 @@ def e1(spark, sf_dir):
 _TEMPLATE = bytes([4]) + b"//x/" + bytes([133])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def patch_url(number: pd.Series) -> pd.Series:
     return number.map(lambda n: codec.patch_url(_TEMPLATE, int(n)))
 
@@ -166,7 +167,7 @@ def e5(spark, sf_dir):
     return World(spark, sf_dir).conditions().select("condition_id", patch_url("condition_id").alias("url"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def map_entry(cps: pd.Series) -> pd.Series:
     return cps.map(lambda v: codec.entry(0, codepoints=[int(x) for x in v], numbers=[1]))
 
