@@ -51,6 +51,29 @@ def free(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+BITMAP_BITS = 1 << 23
+
+
+def bitmap(keys: DataFrame, column: str) -> DataFrame:
+    """A bitmap of fixed size, 2^17 rows of 64 bits at most, with a bit for each key's hash."""
+    bit = F.pmod(F.xxhash64(F.lit("bit"), column), F.lit(BITMAP_BITS))
+    rows = keys.select(F.shiftright(bit, 6).alias("_word"), F.expr("1L").alias("_one"), bit.bitwiseAND(F.lit(63).cast("long")).cast("int").alias("_at"))
+    return settle(rows.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(_one, _at)")).alias("_bits")))
+
+
+def maybe(df: DataFrame, column: str, bits: DataFrame, there: bool = True) -> DataFrame:
+    """The rows whose key may be in the bitmap (all that are, some that aren't), or the others, which certainly aren't.
+
+    The bitmap's size doesn't depend on the data, so every executor gets it; where very many keys
+    fill it, it only lets more rows through.
+    """
+    bit = F.pmod(F.xxhash64(F.lit("bit"), column), F.lit(BITMAP_BITS))
+    asked = df.withColumn("_word", F.shiftright(bit, 6)).withColumn("_at", bit.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    met = asked.join(F.broadcast(bits), "_word", "left")
+    hit = F.coalesce(F.expr("(shiftright(_bits, _at) & 1L) = 1L"), F.lit(False))
+    return met.where(hit if there else ~hit).select(*df.columns)
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of links(a, b): returns (id, root) with the smallest id of each component.
 

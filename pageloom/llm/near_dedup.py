@@ -11,9 +11,11 @@ No bucket's pairs are all emitted, and none is left out:
  1. documents with equal sets are one class from the start, by the smallest id;
  2. in every bucket each class is paired with one centre (another one in each band) and the two
     best centres of a class by estimate are confirmed; this joins nearly all that belongs together;
- 3. buckets that still hold several components are searched in full for pairs between components,
-    in tiles of bounded size and by vectorised estimates, and only promising pairs come out.
-A pair inside one component needs no check, so no link between components is lost among candidates.
+ 3. buckets that still hold several components are searched in full for promising pairs between
+    those, in cells of bounded size; what they connect is a cluster, and clusters are searched in
+    full for links between their components, on full sets and again in cells.
+A cell gives out a forest of what it found, not its pairs, and a pair inside one component needs
+no check, so no link among candidates is lost.
 
 Recall of candidates at a similarity of 0.75 is 1 - (1 - 0.75^3)^32, above 0.9999999; the
 estimate's margin is four standard deviations.
@@ -33,14 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import components, settle, ship
+from .common import components, free, settle, ship
+from .setjoin import confirmed
 from .textnum import mix, shingle_set
 
 REGISTERS = 96
 BAND_ROWS = 3
 BANDS = REGISTERS // BAND_ROWS
+TILE = 512
 MANTISSA = 10
-TILE = 1024
 
 _FACTORS = mix(np.arange(1001, 1001 + REGISTERS, dtype=np.uint64)) | np.uint64(1)
 _OFFSETS = mix(np.arange(5001, 5001 + REGISTERS, dtype=np.uint64))
@@ -103,7 +106,7 @@ def _sets(words: int):
                 found = [shingle_set(t.as_py(), words).view(np.int64) for t in texts[at : at + 64]]
                 flat = np.concatenate(found) if found else np.empty(0, np.int64)
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 64), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, 64), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "set"])
 
     return run
 
@@ -134,65 +137,144 @@ def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(got)], names=["a", "b", "est"])
 
 
-def _across(threshold: float):
-    """Rows sorted by (bucket, ti, tj): pairs of different components, by estimate and sizes."""
-    least = margin(threshold)
+class _Forest:
+    """Union-find over a few ids: keeps only links that join something."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while self.up.setdefault(x, x) != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.top(a), self.top(b)
+        self.up[a] = b
+        return a != b
+
 
-    def pairs(ids, roots, sides, sizes, regs):
-        """Pairs of a tile with itself (all sides 0) or between the two tiles of a group (0 and 1)."""
-        left = np.flatnonzero(sides == 0)
-        right = np.flatnonzero(sides == 1)
-        same = not len(right)
-        right = left if same else right
-        for at in range(0, len(left), 64):
-            i = left[at : at + 64]
-            ok = roots[i][:, None] != roots[right][None, :]
-            ok &= np.minimum(sizes[i][:, None], sizes[right][None, :]) >= threshold * np.maximum(sizes[i][:, None], sizes[right][None, :])
-            if same:
-                ok &= ids[i][:, None] < ids[right][None, :]
-            x, y = np.nonzero(ok)
-            for k in range(0, len(x), 8192):
-                u, v = i[x[k : k + 8192]], right[y[k : k + 8192]]
-                good = estimate((regs[u] == regs[v]).sum(axis=1), sizes[u], sizes[v]) >= least
-                yield np.minimum(ids[u], ids[v])[good], np.maximum(ids[u], ids[v])[good]
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Rows that are sorted by the keys, as one table for each key."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(c).to_numpy() for c in keys], axis=1)
+        cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1).tolist(), len(values)]
+        for a, b in zip(cuts, cuts[1:]):
+            if last is not None and (values[a] != last).any():
+                yield pa.Table.from_batches(held)
+                held = []
+            last = values[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sides(sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the left and the right tile; a tile that meets itself is both."""
+    left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+    return left, right if len(right) else left
+
+
+def _promising(threshold: float):
+    """Cells of buckets -> (a, b): roots of components that have a pair with a promising estimate, as a forest for each cell."""
+    least = margin(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        for t in _groups(batches, ("bucket", "ti", "tj")):
+            roots, sides, sizes = (t.column(c).to_numpy() for c in ("root", "side", "n"))
+            regs = _matrix(t.column("regs").combine_chunks())
+            left, right = _sides(sides)
+            forest, out = _Forest(), []
+            for at in range(0, len(left), 64):
+                i = left[at : at + 64]
+                ok = roots[i][:, None] != roots[right][None, :]
+                ok &= np.minimum(sizes[i][:, None], sizes[right][None, :]) >= threshold * np.maximum(sizes[i][:, None], sizes[right][None, :])
+                x, y = np.nonzero(ok)
+                for k in range(0, len(x), 8192):
+                    u, v = i[x[k : k + 8192]], right[y[k : k + 8192]]
+                    good = estimate((regs[u] == regs[v]).sum(axis=1), sizes[u], sizes[v]) >= least
+                    for pair in np.unique(np.stack([roots[u][good], roots[v][good]], axis=1), axis=0).tolist():
+                        if forest.join(*pair):
+                            out.append(pair)
+            if out:
+                a, b = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
 
-        def flush(parts):
-            t = pa.Table.from_batches(parts)
-            ids, roots, sides, sizes = (t.column(c).to_numpy() for c in ("id", "root", "side", "n"))
-            for a, b in pairs(ids, roots, sides, sizes, _matrix(t.column("regs").combine_chunks())):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "ti", "tj")], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            for a, b in zip(cuts, cuts[1:]):
-                if last is not None and (keys[a] != last).any():
-                    yield from flush(held)
-                    held = []
-                last = keys[a]
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from flush(held)
+def _exact_links(percent: int):
+    """Cells of clusters, with full sets -> (a, b): links between different roots, as a forest for each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, ("cluster", "ti", "tj")):
+            ids, roots, sides = (t.column(c).to_numpy() for c in ("id", "root", "side"))
+            lists = t.column("set").combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            starts = lists.offsets.to_numpy().astype(np.int64)
+            flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+            starts = starts - starts[0]
+            sizes = np.diff(starts)
+            here = np.zeros(int(flat.max(initial=0)) + 1, np.int32)
+            left, right = _sides(sides)
+            names, often = np.unique(roots, return_counts=True)
+            most = names[np.argmax(often)]
+            forest, out = _Forest(), []
+            # Pairs within the commonest root need no look, so one end of each pair is outside it.
+            for one, other in ((left, right), (right, left)):
+                picked = np.concatenate([np.arange(starts[j], starts[j + 1]) for j in other])
+                bounds = np.concatenate([[0], np.cumsum(sizes[other])[:-1]]).astype(np.int64)
+                members = flat[picked]
+                for i in one[roots[one] != most]:
+                    here[flat[starts[i] : starts[i + 1]]] = 1
+                    common = np.add.reduceat(here[members], bounds)
+                    here[flat[starts[i] : starts[i + 1]]] = 0
+                    good = (roots[other] != roots[i]) & (100 * common >= percent * (sizes[i] + sizes[other] - common))
+                    for j in other[good]:
+                        if forest.join(int(roots[i]), int(roots[j])):
+                            out.append((int(ids[i]), int(ids[j])))
+                if one is other:
+                    break
+            if out:
+                a, b = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets meet the threshold."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = settle(docs.join(needed, "id", "left_semi").select("id", "text").mapInArrow(_sets(words), "id bigint, shingles array<bigint>"))
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("total"))
-    return settle(both.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b").distinct())
+def _cells(rows: DataFrame, key: str, tiles) -> DataFrame:
+    """rows(key, id, ..) dealt to cells (key, ti, tj) of two tiles each: tile i as side 0 meets tile j as side 1; (i, i) has tile i once."""
+    dealt = rows.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.withColumns({"ti": F.least("tile", "other"), "tj": F.greatest("tile", "other"), "side": (F.col("tile") > F.col("other")).cast("int")})
+    return dealt.drop("tiles", "tile", "other").repartition(key, "ti", "tj").sortWithinPartitions(key, "ti", "tj")
+
+
+def _links_between(told: DataFrame, facts: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between components that share a bucket. told(bucket, id, root), facts(id, n, regs).
+
+    Buckets' pairs are rated by registers, cell by cell, and only a forest of promising ones comes
+    out; it makes clusters of components, each document being in one. Within clusters, full sets
+    are compared cell by cell, and again only a forest of the links comes out.
+    """
+    mixed = told.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("bucket", "m")
+    rows = settle(told.join(mixed, "bucket").select("bucket", "m", "id", "root"))
+    celled = _cells(rows.join(facts, "id"), "bucket", F.ceil(F.col("m") / TILE).cast("int"))
+    near = celled.select("bucket", "ti", "tj", "side", "root", "n", "regs").mapInArrow(_promising(percent / 100), "a bigint, b bigint")
+    clusters = components(near)
+    own = settle(rows.select("id", "root").distinct().join(clusters.select(F.col("id").alias("root"), F.col("root").alias("cluster")), "root"))
+    size = own.groupBy("cluster").agg(F.count("*").alias("m"))
+    sets = own.join(size, "cluster").join(_sets_of(docs, own.select("id"), words), "id")
+    celled = _cells(sets, "cluster", F.ceil(F.col("m") / TILE).cast("int"))
+    return settle(celled.select("cluster", "ti", "tj", "side", "id", "root", "set").mapInArrow(_exact_links(percent), "a bigint, b bigint"))
+
+
+def _sets_of(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """(id, set) of the documents needed(id)."""
+    return settle(docs.join(needed, "id", "left_semi").select("id", "text").mapInArrow(_sets(words), "id bigint, set array<bigint>"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
@@ -202,11 +284,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = settle(docs.mapInArrow(_signatures(words), "id bigint, n bigint, set_a bigint, set_b bigint, regs binary"))
     classes = settle(signed.where("n > 0 and id is not null").groupBy("n", "set_a", "set_b").agg(F.min("id").alias("rep"), F.count("*").alias("members"), F.any_value("regs").alias("regs")))
     # A few buckets' members; most buckets have one member and go no further.
-    banded = classes.select("rep", "regs").mapInArrow(_bands, "id bigint, bucket bigint")
-    centre = F.min(F.struct(F.xxhash64("id", "bucket").alias("k"), F.col("id").alias("id")))["id"]
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("m"), centre.alias("centre")).where("m > 1")
-    shared = settle(shared)
-    members = settle(banded.join(shared, "bucket").select("bucket", "id", "centre", "m"))
+    banded = classes.select("rep", "regs").mapInArrow(_bands, "id bigint, bucket bigint").repartition("bucket")
+    # The centre is the member smallest after mixing with the bucket's name; mixing again gives it back.
+    least = F.min(F.xxhash64("bucket").bitwiseXOR(F.col("id"))).alias("least")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("m"), least).where("m > 1").hint("shuffle_hash")
+    members = settle(banded.join(shared, "bucket").select("bucket", "id", F.col("least").bitwiseXOR(F.xxhash64("bucket")).alias("centre")))
+    del banded, shared
+    free(docs)
 
     facts = classes.select(F.col("rep").alias("id"), "n", "regs")
     side_a = facts.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("regs_a"))
@@ -217,24 +301,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rated = rated.mapInArrow(_estimates, "a bigint, b bigint, est double").where(F.col("est") >= margin(threshold))
     best = W.partitionBy("b").orderBy(F.desc("est"), "a")
     first = settle(rated.withColumn("no", F.row_number().over(best)).where("no <= 2").select("a", "b"))
-    links = _confirmed(first, docs, words, percent)
+    links = confirmed(first, _sets_of(docs, first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), words), percent)
     roots = components(links)
 
-    # Buckets that still hold several components: all pairs between those, in tiles.
-    told = members.join(roots, "id", "left").select("bucket", "id", "m", F.coalesce("root", "id").alias("root"))
-    told = settle(told)
-    mixed = told.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    tiles = F.ceil(F.col("m") / TILE).cast("int")
-    rows = told.join(mixed, "bucket", "left_semi").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("bucket", "id", "root", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), (F.col("tile") > F.col("other")).cast("int").alias("side"))
-    # The tile pair (i, j) holds tile i as side 0 and tile j as side 1; (i, i) holds tile i once, as side 0.
-    rows = rows.join(facts, "id").repartition("bucket", "ti", "tj").sortWithinPartitions("bucket", "ti", "tj")
-    rest = rows.select("bucket", "ti", "tj", "side", "id", "root", "n", "regs").mapInArrow(_across(threshold), "a bigint, b bigint").distinct()
-    rest = settle(rest)
-    if not rest.isEmpty():
-        links = links.unionByName(_confirmed(rest, docs, words, percent))
-        roots = components(links)
+    # What shares a bucket and isn't one component yet: all links between components.
+    told = settle(members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root")))
+    free(docs)
+    more = _links_between(told, facts, docs, words, percent)
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
 
     named = classes.where("members > 1").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("n", "set_a", "set_b", F.coalesce("root", "rep").alias("class_root"))
     named = settle(named)
