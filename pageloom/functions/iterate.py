@@ -14,7 +14,13 @@ def settle(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pageloom-"))
-    return df.checkpoint(eager=True)
+    cut = df.checkpoint(eager=True)
+    # A checkpoint keeps the estimated size of the plan that made it, and joins multiply estimates:
+    # over the rounds of a fixpoint they become numbers of millions of digits that stall the
+    # driver. The same rows under a plan without an estimate are planned by what is measured.
+    spark = df.sparkSession
+    fresh = spark._jsparkSession.internalCreateDataFrame(cut._jdf.queryExecution().toRdd(), cut._jdf.schema(), False)
+    return DataFrame(fresh, spark)
 
 
 def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int = 50) -> DataFrame:
