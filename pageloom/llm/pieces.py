@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from .common import per_worker, settle, ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 16384
+CHUNK = 65536
 OFFSET = 2.0
 MARK = "▁"
 _LOW = -1e300
@@ -168,7 +168,11 @@ class Vocabulary:
         return out
 
     def transfer(self, s: str, n: int) -> np.ndarray:
-        """matrix[i, j]: best score from i characters into the chunk to j characters beyond its end."""
+        """matrix[i, j]: best score from i characters into the chunk to j characters beyond its end.
+
+        Where all paths share the stretch from the first to the last forced bound, its score is left
+        out: a constant for the whole matrix changes no path.
+        """
         size = self.longest
         places, at = [], 0
         for w in self.stretches(s[:n]):
@@ -186,7 +190,7 @@ class Vocabulary:
             return matrix
         a, b = inside[0], inside[-1]
         head = np.array([self._from(s[:a], i, a)[0] for i in range(size)])
-        return head[:, None] + self.score(s[a:b]) + self._from(s[b:], 0, n - b)[None, :]
+        return head[:, None] + self._from(s[b:], 0, n - b)[None, :]
 
     def trace(self, s: str, n: int, entry: int, leave: int) -> list[int]:
         """Ids of the pieces that start in the chunk, entered `entry` characters in and left `leave` beyond its end."""
@@ -232,53 +236,61 @@ def vocabulary(path: str) -> Vocabulary:
     return per_worker(("vocabulary", path), lambda: Vocabulary.read(path))
 
 
-def chunks(docs: DataFrame, id_col: str, text_col: str, size: int, reach: int) -> DataFrame:
-    """(row, id, chunk, last, odd, part): chunk characters of the marked text, with what a piece can reach beyond; odd: the text has marks of its own."""
-    run_schema = "row bigint, id bigint, chunk int, last int, odd boolean, part string"
+FOUND = "row bigint, id bigint, chunk int, last int, odd boolean, part string, n bigint, sha string, exact boolean, ids array<int>"
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32())]
+    names = ["row", "id", "chunk", "last", "odd", "part", "n", "sha", "exact", "ids"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
+
+def _told(v: Vocabulary, part: str, entry: int, end: int, got: list[int], odd: bool, keep: bool) -> tuple:
+    """(n, sha, exact, ids) of a chunk's ids."""
+    flat = np.asarray(got, np.int32)
+    exact = not odd and b"".join(map(v.utf8.__getitem__, got)).decode("utf-8", "replace") == part[entry:end]
+    return len(got), hashlib.sha256(flat.astype("<i4").tobytes()).hexdigest(), exact, flat if keep else None
+
+
+def _first(path: str, size: int, keep: bool):
+    """Texts of one chunk -> what is told of them; longer ones -> their chunks, with what a piece can reach beyond each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            held = 0
+            out, held = [], 0
             for row, i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                s = marked(text.as_py())
-                odd = MARK in (text.as_py() or "")
+                text = text.as_py() or ""
+                s, odd = marked(text), MARK in text
                 last = max(0, (len(s) - 1) // size)
-                for c in range(last + 1):
-                    part = s[c * size : (c + 1) * size + reach - 1]
-                    for column, value in zip(out, (row, i, c, last, odd, part)):
-                        column.append(value)
-                    held += len(part)
-                    if held > 4_000_000:
-                        yield _rows(out)
-                        out, held = [[], [], [], [], [], []], 0
-            if out[0]:
+                if last:
+                    for c in range(last + 1):
+                        out.append((row, i, c, last, odd, s[c * size : (c + 1) * size + v.longest - 1], None, None, None, None))
+                else:
+                    out.append((row, i, 0, 0, odd, None, *_told(v, s, 0, len(s), v.encode(s), odd, keep)))
+                held += len(s)
+                if held > 1_000_000:
+                    yield _rows(out)
+                    out, held = [], 0
+            if out:
                 yield _rows(out)
 
-    def _rows(out):
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.bool_()), pa.array(out[5], pa.string())], names=["row", "id", "chunk", "last", "odd", "part"])
-
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return numbered.mapInArrow(run, run_schema)
+    return run
 
 
-def _encoded(path: str, size: int):
-    """Chunks with their entry and exit states -> ids."""
+def _traced(path: str, size: int, keep: bool):
+    """Chunks with their entry and exit states -> what is told of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in batches:
-            ids, same = [], []
-            for part, entry, leave, odd in zip(*(batch.column(c).to_pylist() for c in ("part", "entry", "leave", "odd"))):
-                n = min(size, len(part))
-                got = v.trace(part, n, entry, leave)
-                ids.append(np.asarray(got, np.int32))
-                same.append(not odd and b"".join(map(v.utf8.__getitem__, got)).decode("utf-8", "replace") == part[entry : n + leave])
-            flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("row", "id", "chunk")), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(same, pa.bool_())], names=["row", "id", "chunk", "ids", "exact"]
-            )
+            for at in range(0, batch.num_rows, 16):
+                out = []
+                for r in batch.slice(at, 16).to_pylist():
+                    end = min(size, len(r["part"])) + r["leave"]
+                    got = v.encode(r["part"][r["entry"] : end]) if r["entry"] < end else []
+                    out.append((r["row"], r["id"], r["chunk"], r["last"], r["odd"], None, *_told(v, r["part"], r["entry"], end, got, r["odd"], keep)))
+                yield _rows(out)
 
     return run
 
@@ -287,8 +299,10 @@ def _matrices(path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in batches:
-            found = [v.transfer(p, min(size, len(p))).tobytes() for p in batch.column("part").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("chunk"), pa.array(found, pa.binary())], names=["row", "chunk", "matrix"])
+            for at in range(0, batch.num_rows, 16):
+                some = batch.slice(at, 16)
+                found = [v.transfer(p, min(size, len(p))).tobytes() for p in some.column("part").to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column("row"), some.column("chunk"), pa.array(found, pa.binary())], names=["row", "chunk", "matrix"])
 
     return run
 
@@ -303,32 +317,22 @@ def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(s[:-1], pa.int32()), pa.array(s[1:], pa.int32())], names=["row", "chunk", "entry", "leave"])
 
 
-def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, size: int = CHUNK) -> DataFrame:
-    """(row, id, chunk, ids, exact): each row's piece ids by chunk; exact: decoding gives the chunk's characters back.
+def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, size: int = CHUNK, keep: bool = True) -> DataFrame:
+    """(row, id, chunk, n, sha, exact, ids): each row's pieces by chunk; exact: decoding gives the chunk's characters back.
 
-    Texts of one chunk are done where they stand. Chunks of longer texts are dealt out by (row, chunk), so
-    that one giant text is spread over the cluster; a text's matrices, not its characters, meet in one place.
+    keep: whether the ids themselves come out (else null). Texts of one chunk are done where they
+    stand. Chunks of longer texts are dealt out by (row, chunk), so that one giant text is spread
+    over the cluster; a text's matrices, not its characters, meet in one place.
     """
-    reach = vocabulary(model).longest
-    parts = chunks(docs, id_col, text_col, size, reach)
-    schema = "row bigint, id bigint, chunk int, ids array<int>, exact boolean"
-    columns = ["row", "id", "chunk", "odd", "part", "entry", "leave"]
-    zero = F.lit(0)
-    short = parts.where("last = 0").select("*", zero.alias("entry"), zero.alias("leave")).select(*columns).mapInArrow(_encoded(model, size), schema)
-    long = settle(parts.where("last > 0").repartition("row", "chunk"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    found = settle(numbered.mapInArrow(_first(model, size, keep), FOUND))
+    long = found.where("last > 0").select("row", "id", "chunk", "last", "odd", "part").repartition("row", "chunk")
     matrices = long.select("row", "chunk", "part").mapInArrow(_matrices(model, size), "row bigint, chunk int, matrix binary")
     listed = matrices.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "matrix"))), lambda x: x["matrix"]).alias("blobs"))
-    states = listed.select("row", "blobs").mapInArrow(_states, "row bigint, chunk int, entry int, leave int")
-    traced = long.join(states, ["row", "chunk"]).select(*columns).mapInArrow(_encoded(model, size), schema)
-    return short.unionByName(traced)
-
-
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column("ids")
-        sums = [hashlib.sha256(np.asarray(x.values.to_numpy(), "<i4").tobytes()).hexdigest() for x in ids]
-        sizes = [len(x.values) for x in ids]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "id", "chunk")), pa.array(sizes, pa.int64()), pa.array(sums, pa.string()), batch.column("exact")], names=["row", "id", "chunk", "n", "sha", "exact"])
+    states = settle(listed.select("row", "blobs").mapInArrow(_states, "row bigint, chunk int, entry int, leave int"))
+    traced = long.join(states, ["row", "chunk"]).mapInArrow(_traced(model, size, keep), FOUND)
+    out = ["row", "id", "chunk", "n", "sha", "exact", "ids"]
+    return found.where("last = 0").select(*out).unionByName(traced.select(*out))
 
 
 def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, size: int = CHUNK) -> DataFrame:
@@ -337,7 +341,7 @@ def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     ids_sha256: SHA-256 of the ids as little-endian 32-bit numbers; of a text of several chunks,
     that of its chunks' digests, joined by commas.
     """
-    told = encoded(docs, id_col, text_col, model, size).mapInArrow(_digest, "row bigint, id bigint, chunk int, n bigint, sha string, exact boolean")
+    told = encoded(docs, id_col, text_col, model, size, keep=False)
     shas = F.transform(F.sort_array(F.collect_list(F.struct("chunk", "sha"))), lambda x: x["sha"])
     rows = told.groupBy("row").agg(F.any_value("id").alias("id"), F.sum("n").alias("n_tokens"), F.count("*").alias("n_chunks"), shas.alias("shas"), F.bool_and("exact").alias("exact"))
     whole = F.when(F.col("n_chunks") == 1, F.element_at("shas", 1)).otherwise(F.sha2(F.concat_ws(",", "shas"), 256))
