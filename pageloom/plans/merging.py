@@ -1,4 +1,8 @@
-"""Queries on single steps of the merge optimiser, for the dataset en."""
+"""Queries on single steps of the merge optimiser, for the dataset en.
+
+Those named ``.._by_dataset`` give one result per data set, which is the whole job; the others
+are the same steps on en alone.
+"""
 
 from __future__ import annotations
 
@@ -32,8 +36,14 @@ def _world(spark, sf_dir):
     return w, p
 
 
-def _deltas(spark, sf_dir):
-    w, p = _world(spark, sf_dir)
+def _worlds(spark, sf_dir):
+    w = World(spark, sf_dir)
+    p = settle(pr.any_of(w.seg_cp(), "dataset", "segment_id"))
+    return w, p
+
+
+def _deltas(spark, sf_dir, world=_world):
+    w, p = world(spark, sf_dir)
     glyphs = settle(w.patch_glyphs())
     d = mg.cost_deltas(mg.candidates(w.segments()), settle(w.conditions()), glyphs, sz.patch_sizes(glyphs), p)
     return w, d.withColumn("delta", F.round("delta", 6))
@@ -94,3 +104,54 @@ def m13(spark, sf_dir):
     w, p = _world(spark, sf_dir)
     delta = F.col("size") - F.col("p") * (F.col("size") + 75)
     return p.join(sz.patch_sizes(w.patch_glyphs()), F.col("condition_id") == F.col("segment_id")).where(delta < 0).select("segment_id", F.round(delta, 6).alias("delta"))
+
+
+_ALL = _M | dict(
+    pp="SELECT dataset, segment_id, p FROM seg_uni",
+    oc="SELECT dataset, base, other, sum(p * (size + 75)) AS cost FROM (SELECT dataset, base, other, condition_id, product(q) AS p FROM (SELECT dataset, base, other, condition_id, no, 1 - product(1 - p) AS q FROM ol JOIN pp USING (segment_id) GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4) JOIN sizes USING (condition_id) GROUP BY 1, 2, 3",
+    np="SELECT dataset, base, other, fresh, product(q) AS p FROM (SELECT s.dataset, n.base, n.other, n.fresh, n.no, 1 - product(1 - CASE WHEN n.segment_id = n.base THEN 1 - (1 - a.p) * (1 - b.p) ELSE s.p END) AS q FROM nl n JOIN pp s ON s.segment_id = n.segment_id JOIN pp a ON a.segment_id = n.base AND a.dataset = s.dataset JOIN pp b ON b.segment_id = n.other AND b.dataset = s.dataset GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4",
+    nc="SELECT dataset, base, other, sum(p * (size + 75)) AS cost FROM np JOIN ns USING (base, other, fresh) GROUP BY 1, 2, 3",
+    dl="SELECT dataset, base, other, round(n.cost - o.cost, 6) AS delta FROM oc o JOIN nc n USING (dataset, base, other)",
+    bst="SELECT DISTINCT ON (dataset) dataset, delta, base, other FROM dl WHERE delta < 0 ORDER BY dataset, delta, base, other",
+)
+_PP = _ALL["pp"]
+
+
+@query("m5_best_case_by_dataset", sql("SELECT a.dataset, base, other, round((1 - (1 - a.p) * (1 - b.p)) * (greatest(x.size, y.size) + greatest(floor(least(x.size, y.size) * 0.5::DOUBLE), 6) + 75) - a.p * (x.size + 75) - b.p * (y.size + 75), 6) AS delta FROM prs JOIN pp a ON a.segment_id = base JOIN pp b ON b.segment_id = other AND b.dataset = a.dataset JOIN sizes x ON x.condition_id = base JOIN sizes y ON y.condition_id = other", "ids", "sizes", "seg_uni", pp=_PP, prs=_PAIRS))
+def m5_all(spark, sf_dir):
+    w, p = _worlds(spark, sf_dir)
+    sizes = sz.patch_sizes(w.patch_glyphs()).withColumnRenamed("condition_id", "segment_id")
+    return mg.best_case(sizes, mg.candidates(w.segments()), p).withColumn("delta", F.round("delta", 6))
+
+
+@query("m7_cost_deltas_by_dataset", sql("SELECT dataset, base, other, delta FROM dl", "ids", "cond", "sizes", "seg_uni", **_ALL))
+def m7_all(spark, sf_dir):
+    return _deltas(spark, sf_dir, _worlds)[1]
+
+
+@query("o14_best_candidate_by_dataset", sql("SELECT dataset, delta, base, other FROM bst", "ids", "cond", "sizes", "seg_uni", **_ALL))
+def o14_all(spark, sf_dir):
+    return mg.best(_deltas(spark, sf_dir, _worlds)[1])
+
+
+@query("m12_apply_merge_by_dataset", sql("SELECT d.dataset, coalesce(b.base, s.segment_id) AS segment_id, s.cp FROM seg s CROSS JOIN (SELECT DISTINCT dataset FROM pp) d LEFT JOIN bst b ON b.dataset = d.dataset AND b.other = s.segment_id", "ids", "cond", "sizes", "seg_uni", **_ALL))
+def m12_all(spark, sf_dir):
+    """Each data set's segments after its best merge."""
+    w, p = _worlds(spark, sf_dir)
+    d = _deltas(spark, sf_dir, lambda *_: (w, p))[1]
+    segments = p.select("dataset").distinct().join(w.segments().select("segment_id", "cp"))
+    return mg.apply(segments, settle(mg.best(d)))
+
+
+@query("m8_inert_threshold_by_dataset", sql("SELECT dataset, segment_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 6 * p / (size + 75))), 9) AS threshold FROM pp JOIN sizes ON condition_id = segment_id", "sizes", "seg_uni", pp=_PP))
+def m8_all(spark, sf_dir):
+    w, p = _worlds(spark, sf_dir)
+    met = p.join(sz.patch_sizes(w.patch_glyphs()), F.col("condition_id") == F.col("segment_id"))
+    return met.select("dataset", "segment_id", r9(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mg.LEAST_GROWTH * F.col("p") / (F.col("size") + 75)))).alias("threshold"))
+
+
+@query("m13_init_moves_by_dataset", sql("SELECT dataset, segment_id, round(size - p * (size + 75), 6) AS delta FROM pp JOIN sizes ON condition_id = segment_id WHERE size - p * (size + 75) < 0", "sizes", "seg_uni", pp=_PP))
+def m13_all(spark, sf_dir):
+    w, p = _worlds(spark, sf_dir)
+    delta = F.col("size") - F.col("p") * (F.col("size") + 75)
+    return p.join(sz.patch_sizes(w.patch_glyphs()), F.col("condition_id") == F.col("segment_id")).where(delta < 0).select("dataset", "segment_id", F.round(delta, 6).alias("delta"))
