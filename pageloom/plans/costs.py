@@ -118,6 +118,15 @@ def f25(spark, sf_dir):
     return rest.crossJoin(F.broadcast(w.font().agg(F.sum(size).alias("all_bytes"))))
 
 
+@query("f25_fallback_cost_all_patches", sql("SELECT count(*)::BIGINT AS fallback_glyphs, coalesce(sum(40 + (gid * 37) % 200), 0)::BIGINT AS fallback_bytes, (SELECT sum(40 + (gid * 37) % 200) FROM font)::BIGINT AS all_bytes FROM font WHERE NOT EXISTS (SELECT 1 FROM glyphs g WHERE g.gid = font.gid)", "font", "glyphs"))
+def f25_all(spark, sf_dir):
+    """Glyphs that no patch of the segmentation holds, and their bytes."""
+    w = World(spark, sf_dir)
+    size = corpus.glyph_bytes(F.col("gid"))
+    rest = w.font().join(w.patch_glyphs(), "gid", "left_anti").agg(F.count("*").alias("fallback_glyphs"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("fallback_bytes"))
+    return rest.crossJoin(F.broadcast(w.font().agg(F.sum(size).alias("all_bytes"))))
+
+
 @query("u3_fallback_glyphs", sql("SELECT count(*)::BIGINT AS n FROM font WHERE NOT EXISTS (SELECT 1 FROM glyphs g WHERE g.gid = font.gid)", "font", "glyphs"))
 def u3(spark, sf_dir):
     w = World(spark, sf_dir)

@@ -3,12 +3,12 @@ import importlib
 import pytest
 
 
-@pytest.mark.parametrize("name", ["m5_best_case", "m7_cost_deltas", "m8_inert_threshold", "m12_apply_merge", "m13_init_moves", "o14_best_candidate"])
+@pytest.mark.parametrize("name", ["m5_best_case", "m7_cost_deltas", "m8_inert_threshold", "m12_apply_merge", "m13_init_moves", "o14_best_candidate", "f25_fallback_cost_all_patches"])
 def test_against_sql(spark, sf_dir, name):
     import duckdb
 
     e = importlib.import_module("__spark_entry__")
-    name = f"{name}_by_dataset"
+    name = name if name.startswith("f25") else f"{name}_by_dataset"
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
     got = e.queries()[name](spark, sf_dir)
