@@ -9,7 +9,8 @@ class's threshold. Over windows of 20 characters the entropy is log2(20) - S / 2
 of c * log2(c) over the window's character counts c; moving the window by one changes two counts,
 so S changes by two differences only. A run whose largest window entropy reaches the threshold
 is a span of kind entropy, unless the allow list holds it: decimal numbers, UUID-like and path-like
-runs, runs of words in one letter case joined by - _ or /, sequences in alphabetical or keyboard order, placeholders.
+runs, runs of words in one letter case joined by - _ or /, sequences in alphabetical or keyboard order, placeholders
+(in what follows the last = or /: names and paths before a value say nothing of it).
 
 Only built-in DataFrame functions are used. Offsets count code points, ends are exclusive. Texts
 don't move: matches are found in place, and only their lengths are shuffled for the running sums
@@ -52,7 +53,7 @@ ALLOWED = (
     r"^[A-Z]?[a-z]+([-_/=+][A-Z]?[a-z]+)*$",
     r"^[A-Z]+([-_/=+][A-Z]+)*$",
     r"^[-_=+/]+$",
-    r"(?i)(example|sample|placeholder|changeme|dummy|lorem|xxxx|abcdefgh|12345678|qwerty)",
+    r"(?i)(example|sample|placeholder|changeme|dummy|lorem|xxxx|abcdefgh|12345678|qwerty)[^=/]*[=/]*$",
 )
 
 
