@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm import line_dedup, mixing, near_dedup, pieces, toxicity
+from pageloom.llm.common import settle
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,18 +28,28 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key that is never null: the id or, where that is null, a number of the row's own past all ids."""
+    if docs.where("doc_id is null").isEmpty():
+        return docs.withColumn("_key", F.col("doc_id"))
+    last = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)).cast("long")).first()[0]
+    return settle(docs.withColumn("_key", F.coalesce(F.col("doc_id"), F.lit(last) + 1 + F.monotonically_increasing_id())))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near duplicates, the one with the smallest id; null ids come last."""
+    keyed = _keyed(docs)
+    kept = near_dedup.near_duplicates(keyed, "_key").where("kept").select(F.col("id").alias("_key")).distinct()
+    return keyed.join(kept, "_key", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in whole documents: taken words over size, rounded."""
-    taken = mixing.mix(docs).where("taken > 0").select(F.col("id").alias("doc_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
+    keyed = _keyed(docs)
+    taken = mixing.mix(keyed, "_key").where("taken > 0").select(F.col("id").alias("_key"), F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
     # Rows that repeat an id are mixed one by one; together they come as often as the mix says on the mean.
-    taken = taken.groupBy("doc_id").agg(F.round(F.avg("times")).cast("int").alias("times")).where("times > 0")
-    return docs.join(taken, "doc_id").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    taken = taken.groupBy("_key").agg(F.round(F.avg("times")).cast("int").alias("times")).where("times > 0")
+    return keyed.join(taken, "_key").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
