@@ -9,11 +9,12 @@ from pyspark.sql import Window as W
 from .common import settle
 
 
-def alike(percent: int) -> Column:
-    """Of arrays sa, sb without repeats: 100 * intersection >= percent * union."""
-    common = F.size(F.array_intersect("sa", "sb"))
-    small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-    return (100 * small >= percent * large) & (100 * common >= percent * (F.size("sa") + F.size("sb") - common))
+def alike(percent: int, a: Column | None = None, b: Column | None = None) -> Column:
+    """Of arrays without repeats (sa and sb, if not given): 100 * intersection >= percent * union."""
+    a, b = F.col("sa") if a is None else a, F.col("sb") if b is None else b
+    common = F.size(F.array_intersect(a, b))
+    small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+    return (100 * small >= percent * large) & (100 * common >= percent * (F.size(a) + F.size(b) - common))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -26,25 +27,29 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links_across(sets: DataFrame, percent: int) -> DataFrame:
     """All links (a, b) between different roots of sets(id, root, set).
 
-    Alike sets share an element among the first n - ceil(percent * n / 100) + 1 of each, in any
-    order that holds for all. Rare elements stand first here: those of one set only can't be
-    shared but use up its prefix, so sets whose likeness is a common passage drop out at once,
-    and elements that many sets have are rarely in a prefix. Where the sets with a prefix element
-    belong mostly to one root, only the others are compared with all: what is one component
-    already is never paired with itself.
+    Alike sets have at least percent / (100 + percent) of both sizes in common, so they share an
+    element among the first n - ceil(percent * n / 100) + 1 of each, in any order that holds for
+    all. Rare elements stand first here: those of one set only can't be shared but use up its
+    prefix, so sets whose likeness is a common passage drop out at once. An element at place i of
+    n leaves n - i + 1 elements that can be common; where that is too few for either side the pair
+    isn't made, so near copies that each have too much of their own don't meet through what the
+    group has in common. Where the sets with a prefix element belong mostly to one root, only the
+    others are compared with all: what is one component already is never paired with itself.
     """
     n = F.size("set")
-    sized = sets.where(n > 0).select("id", "root", n.alias("n"), (n - F.ceil(F.lit(percent) * n / F.lit(100)) + 1).alias("first"), F.explode("set").alias("s"))
+    sets = settle(sets.where(n > 0))
+    sized = sets.select("id", "root", n.alias("n"), (n - F.ceil(F.lit(percent) * n / F.lit(100)) + 1).alias("first"), F.explode("set").alias("s"))
     shared = sized.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     met = sized.join(shared, "s")
     of_set = W.partitionBy("id")
-    met = met.withColumn("room", F.col("first") - (F.col("n") - F.count("*").over(of_set))).withColumn("no", F.row_number().over(of_set.orderBy("df", "s")))
-    prefix = settle(met.where("no <= room").select("s", "id", "root", "n"))
+    met = met.withColumn("no", F.col("n") - F.count("*").over(of_set) + F.row_number().over(of_set.orderBy("df", "s")))
+    prefix = settle(met.where("no <= first").select("s", "id", "root", "n", "no"))
     counts = prefix.groupBy("s", "root").agg(F.count("*").alias("k"))
     most = settle(counts.groupBy("s").agg(F.count("*").alias("roots"), F.max(F.struct("k", "root"))["root"].alias("top")).where("roots > 1").select("s", "top"))
     mixed = prefix.join(most, "s")
-    left = mixed.where("root <> top").select("s", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"))
-    right = mixed.select("s", F.col("id").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"))
+    left = mixed.where("root <> top").select("s", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("no").alias("ix"))
+    right = mixed.select("s", F.col("id").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("no").alias("iy"))
     close = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
-    pairs = left.join(right, "s").where("rx <> ry").where(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    reach = (100 + percent) * (F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) + 1) >= percent * (F.col("nx") + F.col("ny"))
+    pairs = left.join(right, (left["s"] == right["s"]) & (F.col("rx") != F.col("ry")) & close & reach).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return confirmed(pairs, sets.select("id", "set"), percent)
