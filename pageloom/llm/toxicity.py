@@ -3,12 +3,14 @@
 Features are the presence of character n-grams (4 to 6 characters of the lower-cased text, what
 isn't a letter or digit being one space). On the labelled rows, every n-gram gets its log-count
 ratio r = log((p + 1) / (P + 2)) - log((q + 1) / (Q + 2)) from the toxic documents p of P and
-the others q of Q that have it; the n-grams that tell the classes apart best (likelihood ratio)
-make the vocabulary; a logistic regression with an L2 penalty is fitted on presence * r.
+the others q of Q that have it; every n-gram whose likelihood ratio test tells the classes apart
+at the level `significance` is a feature; a logistic regression with an L2 penalty is fitted on
+presence * r.
 
-Bounds of the fit, all parameters: at most about `labelled` labelled rows, drawn evenly by a hash
-of their id, and `vocabulary` n-grams. Counting runs on the executors over whole texts; what
-reaches the driver is bounded by the two parameters. Scoring reads every whole text, in blocks.
+Bound of the fit, a parameter: at most about `labelled` labelled rows, drawn evenly by a hash of
+their id; what reaches the driver follows from these rows. Counting runs on the executors over whole
+texts. Scoring reads every whole text, long ones in blocks that carry the last characters over the
+cut, so that a text has the same n-grams whatever the block size.
 
 Defined results: null, empty and separators-only texts have no n-grams and get the score of the
 intercept; without labelled rows of both classes every score is the labelled share of toxic rows
@@ -21,9 +23,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +36,6 @@ from .textnum import mix
 
 GRAMS = (4, 5, 6)
 BLOCK = 1 << 18
-OVERLAP = 64
 THRESHOLD = 0.3
 
 _STEPS = mix(np.arange(11, 11 + max(GRAMS), dtype=np.uint64)) | np.uint64(1)
@@ -41,35 +44,52 @@ _PLAIN[48:58] = np.arange(48, 58)
 _PLAIN[97:123] = np.arange(97, 123)
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-    """The texts' pieces, about BLOCK characters at a time; long texts are cut with an overlap."""
+def _points(lowered: str) -> np.ndarray:
+    """Code points, what isn't a letter or digit being a space."""
+    points = np.frombuffer(lowered.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(points < 0x80, _PLAIN[np.minimum(points, 0x7F)], points)
+
+
+def _blocks(texts: list[str | None], block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, code point) of the texts with one space for runs of them, about `block` characters at a time.
+
+    A longer text comes in several blocks; each but the first starts with the characters that an
+    n-gram across the cut needs.
+    """
     owners, pieces, size = [], [], 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        points = _points("".join(pieces))
+        owner = np.repeat(np.asarray(owners), [len(p) for p in pieces])
+        space = points == 32
+        keep = np.concatenate([[True], ~(space[1:] & space[:-1] & (owner[1:] == owner[:-1]))])
+        return owner[keep], points[keep]
+
     for i, text in enumerate(texts):
-        text = text or ""
-        for at in range(0, max(len(text), 1), BLOCK):
-            piece = text[max(0, at - OVERLAP) : at + BLOCK]
-            owners.append(i)
-            pieces.append(piece)
-            size += len(piece) + 2
-            if size >= BLOCK:
-                yield owners, pieces
-                owners, pieces, size = [], [], 0
+        lowered = f" {(text or '').lower()} "
+        if len(lowered) > block:
+            carried = np.empty(0, np.uint32)
+            for at in range(0, len(lowered), block):
+                points = np.concatenate([carried, _points(lowered[at : at + block])])
+                space = points == 32
+                points = points[np.concatenate([[True], ~(space[1:] & space[:-1])])]
+                yield np.full(len(points), i), points
+                carried = points[-(max(GRAMS) - 1) :]
+            continue
+        owners.append(i)
+        pieces.append(lowered)
+        size += len(lowered)
+        if size >= block:
+            yield joined()
+            owners, pieces, size = [], [], 0
     if pieces:
-        yield owners, pieces
+        yield joined()
 
 
-def grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def grams(texts: list[str | None], block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text number, n-gram hash), with repeats."""
-    for owners, pieces in _blocks(texts):
-        lowered = [f" {p.lower()} " for p in pieces]
-        points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-        owner = np.repeat(np.arange(len(pieces)), [len(p) for p in lowered])
-        points = np.where(points < 0x80, _PLAIN[np.minimum(points, 0x7F)], points)
-        space = points == 32
-        keep = ~(space[1:] & space[:-1] & (owner[1:] == owner[:-1]))
-        keep = np.concatenate([[True], keep])
-        points, owner = points[keep].astype(np.uint64), owner[keep]
-        numbers = np.asarray(owners)
+    for owner, points in _blocks(texts, block):
+        points = points.astype(np.uint64)
         sums = np.zeros(len(points), np.uint64)
         for n in range(max(GRAMS)):
             end = len(points) - n
@@ -78,7 +98,20 @@ def grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             sums = sums[:end] + points[n:] * _STEPS[n]
             if n + 1 in GRAMS:
                 same = owner[:end] == owner[n:]
-                yield numbers[owner[:end][same]], mix(sums[same] + np.uint64(n + 1))
+                yield owner[:end][same], mix(sums[same] + np.uint64(n + 1))
+
+
+def slices(batch: pa.RecordBatch, text_col: str, rows: int = 256, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many rows and, unless one text is longer, bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False).tolist()
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and (i - start >= rows or held + n > size):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
 
 @dataclass
@@ -129,15 +162,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(toxic.astype(np.int64)), pa.array((total - toxic).astype(np.int64))], names=["h", "p", "q"])
 
     for batch in batches:
-        texts, toxic = batch.column("text").to_pylist(), batch.column("toxic").to_numpy()
-        for at in range(0, len(texts), 64):
-            some = texts[at : at + 64]
-            parts = [_distinct(o, h) for o, h in grams(some)]
+        for some in slices(batch, "text", rows=64):
+            parts = [_distinct(o, h) for o, h in grams(some.column("text").to_pylist())]
             # A long text's blocks come apart: distinct once more over all of them.
             o, h = (np.concatenate([p[:, k] for p in parts]) for k in (0, 1)) if parts else (np.empty(0, np.uint64),) * 2
             pairs = _distinct(o, h)
             held.append(pairs[:, 1])
-            labels.append(toxic[at : at + 64].astype(np.int64)[pairs[:, 0].astype(np.int64)])
+            labels.append(some.column("toxic").to_numpy().astype(np.int64)[pairs[:, 0].astype(np.int64)])
             if sum(map(len, held)) > 4_000_000:
                 yield out()
                 held, labels = [], []
@@ -177,7 +208,7 @@ def held_out(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = 12_000, vocabulary: int = 20_000, least_docs: int = 4) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = 12_000, significance: float = 1e-6) -> Model:
     """Fit on the labels(id, toxic 0/1) that aren't held out, with the texts of docs."""
     known = labels.where("toxic is not null").where(~held_out(id_col)).groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic"))
     known = settle(known.select(F.col(id_col).alias("id"), "toxic"))
@@ -200,8 +231,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     have = p + q
     gain = term(p, have * n1 / n) + term(q, have * n0 / n) + term(n1 - p, (n - have) * n1 / n) + term(n0 - q, (n - have) * n0 / n)
     ratio = F.log((p + 1) / (n1 + 2)) - F.log((q + 1) / (n0 + 2))
-    best = counts.where(have >= least_docs).where(have < n).select("h", ratio.alias("r"), F.round(gain, 9).alias("gain")).orderBy(F.desc("gain"), "h").limit(vocabulary)
-    chosen = best.select("h", "r").toPandas()
+    # Twice the gain is chi-squared with one degree of freedom where the classes don't differ.
+    least = NormalDist().inv_cdf(1 - significance / 2) ** 2
+    chosen = counts.where(2 * gain >= least).select("h", ratio.alias("r")).toPandas()
     keys = chosen["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     keys, ratios = keys[order], chosen["r"].to_numpy(float)[order]
@@ -209,10 +241,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, toxic = batch.column("text").to_pylist(), batch.column("toxic")
-            owner, feature = bare.hits(texts)
-            ends = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([toxic, pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32)))], names=["toxic", "has"])
+            for some in slices(batch, "text"):
+                owner, feature = bare.hits(some.column("text").to_pylist())
+                ends = np.searchsorted(owner, np.arange(some.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([some.column("toxic"), pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32)))], names=["toxic", "has"])
 
     table = texts.mapInArrow(present, "toxic int, has array<int>").toArrow().combine_chunks()
     y = table.column("toxic").to_numpy().astype(float)
@@ -232,8 +264,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(model.scores(texts))], names=[*others, "score"])
+            for some in slices(batch, text_col):
+                scores = model.scores(some.column(text_col).to_pylist())
+                yield pa.RecordBatch.from_arrays([*[some.column(c) for c in others], pa.array(scores)], names=[*others, "score"])
 
     return docs.mapInArrow(run, schema)
 
@@ -251,7 +284,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(model.scores(batch.column(text_col).to_pylist()) < threshold))
+            for some in slices(batch, text_col):
+                yield some.filter(pa.array(model.scores(some.column(text_col).to_pylist()) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 

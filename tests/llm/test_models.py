@@ -39,8 +39,28 @@ def test_toxicity_without_labels(spark):
 
 def test_blocks_see_what_whole_texts_have():
     text = "".join(random.Random(1).choice("abc d") for _ in range(2 * toxicity.BLOCK + 100))
-    whole = {int(x) for _, h in toxicity.grams([text]) for x in h}
-    assert len(whole) == len({int(x) for _, h in toxicity.grams([text[: toxicity.BLOCK + 50], text[toxicity.BLOCK - 50 :]]) for x in h})
+    spaced = "a" * 900 + " " * 500 + "?!" * 300 + "Σ b" * 200
+    for t in (text, spaced, " " * 3000, ""):
+        whole = {int(x) for _, h in toxicity.grams([t], 1 << 30) for x in h}
+        for block in (97, 1000, toxicity.BLOCK):
+            assert whole == {int(x) for _, h in toxicity.grams([t], block) for x in h}
+
+
+def test_slices_bound_rows_and_bytes():
+    import pyarrow as pa
+
+    texts = ["x" * (i * 997 % 5000) for i in range(300)] + [None, "y" * 90_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)))], names=["text", "no"])
+    parts = list(toxicity.slices(batch, "text", rows=50, size=20_000))
+    assert [x for p in parts for x in p.column("no").to_pylist()] == list(range(len(texts)))
+    assert all(p.num_rows <= 50 and (p.num_rows == 1 or sum(len(t or "") for t in p.column("text").to_pylist()) <= 20_000) for p in parts)
+
+
+def test_ties_of_scaled_vectors(spark):
+    x = np.random.default_rng(5).normal(size=16)
+    rows = [(i, [float(a * (1 + i % 20 / 7)) for a in x]) for i in range(60)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    assert sorted(r.id for r in got if r.query_id == 0) == [1, 2, 3, 4, 5] and sorted(r.id for r in got if r.query_id == 50) == [0, 1, 2, 3, 4]
 
 
 def test_hadamard_keeps_lengths():
