@@ -5,8 +5,10 @@ vocabulary, the one with the largest sum of scores, found by dynamic programming
 max-plus semiring. Giant texts are cut into chunks at fixed places. Between two chunks the state
 is how far a piece reaches over the bound, 0 to L - 1 characters with L the longest piece, so
 each chunk has an L x L transfer matrix of best scores, found without its neighbours. Products of
-these matrices are associative; combined along a text they give every chunk's entry state, and
-each chunk is then traced back on its own.
+these matrices are associative: FAN neighbours at a time they are combined, level by level, to one
+matrix of the whole text, and on the way down each level's states at its ends give those between
+its parts, so no task handles more than FAN matrices of a text at once. Each chunk is then traced
+back on its own. Scores are multiples of 2^-16, so sums are exact in whatever order they are made.
 
 Inside a chunk, no piece has a space mark after another character, nor a line feed, so every path
 passes the start of each word. The stretch between the first and the last
@@ -16,7 +18,7 @@ Texts without spaces have no such places and their chunks are solved per state t
 
 Vocabulary: the pieces of a .model file, whose path is a parameter. The public files hold
 byte-pair pieces, whose scores are merge ranks and no probabilities; piece number r by rank gets
-the score -log((r + OFFSET) * H), Zipf's law, H its normalising sum. Nothing is trained. Characters outside the
+the score -log((r + OFFSET) * H), Zipf's law, H its normalising sum, rounded to 2^-16. Nothing is trained. Characters outside the
 vocabulary become their UTF-8 bytes' pieces, each character at ten below the lowest score, as
 the sentencepiece library scores unknown characters. Results are tested against that library's on
 a model file with these scores: sums are equal, and so are ids where no other segmentation has the
@@ -34,10 +36,9 @@ are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import ahocorasick
 import numpy as np
@@ -46,9 +47,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import per_worker, settle, ship
+from .textnum import mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 65536
+FAN = 16
 OFFSET = 2.0
 MARK = "▁"
 _LOW = -1e300
@@ -63,8 +66,8 @@ class Vocabulary:
         self.bytes = {}
         normal = [i for i, k in enumerate(kinds) if k == 1]
         total = float(np.sum(1 / (np.arange(len(normal)) + offset)))
-        # Scores are single precision in model files and in the library.
-        scores = (-np.log((np.arange(len(normal)) + offset) * total)).astype(np.float32)
+        # Scores are single precision in model files and in the library; these need 21 bits.
+        scores = (np.round(-np.log((np.arange(len(normal)) + offset) * total) * 65536) / 65536).astype(np.float32)
         self.scores = dict(zip(normal, map(float, scores)))
         self.ids = {pieces[i]: i for i in normal}
         for i, k in enumerate(kinds):
@@ -215,41 +218,63 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def entries(matrices: list[np.ndarray]) -> list[int]:
-    """Each chunk's entry state on the best path from state 0 to state 0 behind the last chunk.
+def between(matrices: list[np.ndarray], enter: int = 0, leave: int = 0) -> list[int]:
+    """The states at the matrices' bounds on the best path from state `enter` before the first to `leave` behind the last.
 
     Suffix products give what is best from each state on; the path then steps through the bounds.
     """
     size = matrices[0].shape[0]
     rest = [np.full(size, -np.inf)]
-    rest[0][0] = 0.0
+    rest[0][leave] = 0.0
     for m in reversed(matrices):
         rest.append((m + rest[-1][None, :]).max(axis=1))
     rest.reverse()
-    states = [0]
+    states = [enter]
     for m, after in zip(matrices, rest[1:]):
         states.append(int(np.argmax(m[states[-1]] + after)))
     return states
 
 
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_powers: list[np.ndarray] = []
+
+
+def digest(ids) -> tuple[int, int]:
+    """Two polynomials in the ids modulo 2^64, as signed numbers; those of joined lists follow from those of the parts."""
+    flat = mix(np.asarray(ids, np.int64).astype(np.uint64) + np.uint64(1))
+    if not _powers or len(_powers[0]) < len(flat):
+        n = 1 << max(12, len(flat).bit_length())
+        _powers[:] = [np.cumprod(np.concatenate([[1], np.full(n - 1, b, np.uint64)]).astype(np.uint64)) for b in _BASES]
+    return tuple(int((flat * p[: len(flat)]).sum(dtype=np.uint64).view(np.int64)) for p in _powers)
+
+
+def joined(parts: list[tuple[int, int, int]]) -> tuple[int, int, int]:
+    """(n, a, b) of the joined list, from those of its parts in order."""
+    n, sums = 0, [0, 0]
+    for size, *of in parts:
+        sums = [(t + x * pow(base, n, 1 << 64)) % (1 << 64) for t, x, base in zip(sums, of, _BASES)]
+        n += size
+    return n, *(int(np.uint64(t).view(np.int64)) for t in sums)
+
+
 def vocabulary(path: str) -> Vocabulary:
     return per_worker(("vocabulary", path), lambda: Vocabulary.read(path))
 
 
-FOUND = "row bigint, id bigint, chunk int, last int, odd boolean, part string, n bigint, sha string, exact boolean, ids array<int>"
+FOUND = "row bigint, id bigint, chunk int, last int, odd boolean, part string, n bigint, a bigint, b bigint, exact boolean, ids array<int>"
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32())]
-    names = ["row", "id", "chunk", "last", "odd", "part", "n", "sha", "exact", "ids"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
+    names = ["row", "id", "chunk", "last", "odd", "part", "n", "a", "b", "exact", "ids"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
 
 def _told(v: Vocabulary, part: str, entry: int, end: int, got: list[int], odd: bool, keep: bool) -> tuple:
-    """(n, sha, exact, ids) of a chunk's ids."""
+    """(n, a, b, exact, ids) of a chunk's ids; a and b: their digest."""
     flat = np.asarray(got, np.int32)
     exact = not odd and b"".join(map(v.utf8.__getitem__, got)).decode("utf-8", "replace") == part[entry:end]
-    return len(got), hashlib.sha256(flat.astype("<i4").tobytes()).hexdigest(), exact, flat if keep else None
+    return len(got), *digest(flat), exact, flat if keep else None
 
 
 def _first(path: str, size: int, keep: bool):
@@ -265,7 +290,7 @@ def _first(path: str, size: int, keep: bool):
                 last = max(0, (len(s) - 1) // size)
                 if last:
                     for c in range(last + 1):
-                        out.append((row, i, c, last, odd, s[c * size : (c + 1) * size + v.longest - 1], None, None, None, None))
+                        out.append((row, i, c, last, odd, s[c * size : (c + 1) * size + v.longest - 1], None, None, None, None, None))
                 else:
                     out.append((row, i, 0, 0, odd, None, *_told(v, s, 0, len(s), v.encode(s), odd, keep)))
                 held += len(s)
@@ -307,45 +332,83 @@ def _matrices(path: str, size: int):
     return run
 
 
+def _blobs(blobs: list[bytes]) -> list[np.ndarray]:
+    size = int(round((len(blobs[0]) / 8) ** 0.5))
+    return [np.frombuffer(b).reshape(size, size) for b in blobs]
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, chunk, matrices in order) -> (row, chunk, matrix): their product."""
+    for batch in batches:
+        found = [reduce(product, _blobs(b)).tobytes() for b in batch.column("blobs").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("chunk"), pa.array(found, pa.binary())], names=["row", "chunk", "matrix"])
+
+
 def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, matrices in order) -> (row, chunk, entry, leave)."""
+    """(row, chunk, matrices in order, entry, leave) -> (row, part, entry, leave) of the parts, FAN of which are a chunk."""
     for batch in batches:
-        for row, blobs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            size = int(round((len(blobs[0]) / 8) ** 0.5))
-            s = entries([np.frombuffer(b).reshape(size, size) for b in blobs])
-            n = len(blobs)
-            yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(s[:-1], pa.int32()), pa.array(s[1:], pa.int32())], names=["row", "chunk", "entry", "leave"])
+        for r in batch.to_pylist():
+            s = between(_blobs(r["blobs"]), r["entry"], r["leave"])
+            n, first = len(r["blobs"]), r["chunk"] * FAN
+            parts = [pa.array([r["row"]] * n, pa.int64()), pa.array(range(first, first + n), pa.int32()), pa.array(s[:-1], pa.int32()), pa.array(s[1:], pa.int32())]
+            yield pa.RecordBatch.from_arrays(parts, names=["row", "chunk", "entry", "leave"])
+
+
+def _scan(matrices: DataFrame, last: int) -> DataFrame:
+    """(row, chunk, matrix) -> (row, chunk, entry, leave): up by products of FAN matrices, down by states. last: the largest chunk number."""
+    levels = []
+    while True:
+        grouped = matrices.groupBy("row", F.floor(F.col("chunk") / FAN).cast("int").alias("group")).agg(F.sort_array(F.collect_list(F.struct("chunk", "matrix"))).alias("found"))
+        grouped = settle(grouped.select("row", F.col("group").alias("chunk"), F.transform("found", lambda x: x["matrix"]).alias("blobs")))
+        levels.append(grouped)
+        last //= FAN
+        if not last:
+            break
+        matrices = grouped.mapInArrow(_products, "row bigint, chunk int, matrix binary")
+    states = levels[-1].select("row", "chunk", F.lit(0).alias("entry"), F.lit(0).alias("leave"))
+    for grouped in reversed(levels):
+        states = grouped.join(states, ["row", "chunk"]).select("row", "chunk", "blobs", "entry", "leave").mapInArrow(_states, "row bigint, chunk int, entry int, leave int")
+    return settle(states)
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, size: int = CHUNK, keep: bool = True) -> DataFrame:
-    """(row, id, chunk, n, sha, exact, ids): each row's pieces by chunk; exact: decoding gives the chunk's characters back.
+    """(row, id, chunk, last, n, a, b, exact, ids): each row's pieces by chunk; exact: decoding gives the chunk's characters back.
 
-    keep: whether the ids themselves come out (else null). Texts of one chunk are done where they
-    stand. Chunks of longer texts are dealt out by (row, chunk), so that one giant text is spread
-    over the cluster; a text's matrices, not its characters, meet in one place.
+    keep: whether the ids themselves come out (else null); a and b: their digest. Texts of one
+    chunk are done where they stand. Chunks of longer texts are dealt out by (row, chunk), so that
+    one giant text is spread over the cluster; of its matrices, FAN at a time meet.
     """
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = settle(numbered.mapInArrow(_first(model, size, keep), FOUND))
+    out = ["row", "id", "chunk", "last", "n", "a", "b", "exact", "ids"]
+    last = int(found.agg(F.coalesce(F.max("last"), F.lit(0))).first()[0])
+    if not last:
+        return found.select(*out)
     long = found.where("last > 0").select("row", "id", "chunk", "last", "odd", "part").repartition("row", "chunk")
-    matrices = long.select("row", "chunk", "part").mapInArrow(_matrices(model, size), "row bigint, chunk int, matrix binary")
-    listed = matrices.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "matrix"))), lambda x: x["matrix"]).alias("blobs"))
-    states = settle(listed.select("row", "blobs").mapInArrow(_states, "row bigint, chunk int, entry int, leave int"))
+    states = _scan(long.select("row", "chunk", "part").mapInArrow(_matrices(model, size), "row bigint, chunk int, matrix binary"), last)
     traced = long.join(states, ["row", "chunk"]).mapInArrow(_traced(model, size, keep), FOUND)
-    out = ["row", "id", "chunk", "n", "sha", "exact", "ids"]
     return found.where("last = 0").select(*out).unionByName(traced.select(*out))
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [joined([(p["n"], p["a"], p["b"]) for p in parts]) for parts in batch.column("parts").to_pylist()]
+        n, a, b = zip(*found) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), batch.column("n_chunks"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), batch.column("exact")], names=["id", "n_tokens", "n_chunks", "a", "b", "exact"])
+
+
 def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, size: int = CHUNK) -> DataFrame:
-    """(id, n_tokens, n_chunks, ids_sha256, exact) of every row.
+    """(id, n_tokens, n_chunks, ids_digest, exact) of every row.
 
-    ids_sha256: SHA-256 of the ids as little-endian 32-bit numbers; of a text of several chunks,
-    that of its chunks' digests, joined by commas.
+    ids_digest: 32 hexadecimal digits of the row's whole list of ids, the same however the text
+    was cut into chunks.
     """
     told = encoded(docs, id_col, text_col, model, size, keep=False)
-    shas = F.transform(F.sort_array(F.collect_list(F.struct("chunk", "sha"))), lambda x: x["sha"])
-    rows = told.groupBy("row").agg(F.any_value("id").alias("id"), F.sum("n").alias("n_tokens"), F.count("*").alias("n_chunks"), shas.alias("shas"), F.bool_and("exact").alias("exact"))
-    whole = F.when(F.col("n_chunks") == 1, F.element_at("shas", 1)).otherwise(F.sha2(F.concat_ws(",", "shas"), 256))
-    return rows.select("id", "n_tokens", "n_chunks", whole.alias("ids_sha256"), "exact")
+    single = told.where("last = 0").select("id", F.col("n").alias("n_tokens"), F.lit(1).cast("long").alias("n_chunks"), "a", "b", "exact")
+    rows = told.where("last > 0").groupBy("row").agg(F.any_value("id").alias("id"), F.count("*").alias("n_chunks"), F.sort_array(F.collect_list(F.struct("chunk", "n", "a", "b"))).alias("parts"), F.bool_and("exact").alias("exact"))
+    whole = rows.select("id", "n_chunks", "parts", "exact").mapInArrow(_joined, "id bigint, n_tokens bigint, n_chunks bigint, a bigint, b bigint, exact boolean")
+    digits = F.lower(F.concat(F.lpad(F.hex("a"), 16, "0"), F.lpad(F.hex("b"), 16, "0")))
+    return single.unionByName(whole).select("id", "n_tokens", "n_chunks", digits.alias("ids_digest"), "exact")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ def test_chunks_reach_the_same_sum(v):
             continue
         size = rng.randint(v.longest + 1, 60)
         parts = [s[i : i + size + v.longest - 1] for i in range(0, len(s), size)]
-        states = pieces.entries([v.transfer(p, min(size, len(p))) for p in parts])
+        states = pieces.between([v.transfer(p, min(size, len(p))) for p in parts])
         out = [x for p, e, l in zip(parts, states, states[1:]) for x in v.trace(p, min(size, len(p)), e, l)]
         assert v.decode(out) == t
         assert abs(score(v, out) - score(v, v.encode(s))) < 1e-6
@@ -65,7 +65,7 @@ def test_products_are_associative(v):
 
 def test_rows(spark, v):
     rng = random.Random(2)
-    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(700))
+    long = " ".join("".join(rng.sample("abcdefgh", rng.randint(1, 8))) for _ in range(700))
     rows = [(1, "a b"), (2, None), (3, ""), (4, long), (4, long), (5, "x" * 900), (6, "has ▁ mark")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {}
@@ -76,4 +76,10 @@ def test_rows(spark, v):
     assert (4, long) in texts and (1, "a b") in texts and (5, "x" * 900) in texts and (2, "") in texts
     told = {r.id: r for r in pieces.summary(df, size=256).collect()}
     assert told[4].n_chunks > 3 and told[4].exact and told[2].n_tokens == 0 and not told[6].exact
+    # Several levels of products, and the same digests whatever the chunks, where no two ways tie.
+    other = {r.id: r for r in pieces.summary(df, size=64).collect()}
+    whole = {r.id: r for r in pieces.summary(df).collect()}
+    assert other[4].n_chunks > pieces.FAN and whole[4].n_chunks == 1
+    assert all(told[i].ids_digest == other[i].ids_digest == whole[i].ids_digest and told[i].n_tokens == whole[i].n_tokens for i in (1, 2, 3, 6))
+    assert len({x[4].n_tokens for x in (told, other, whole)}) == 1 and told[4].ids_digest == whole[4].ids_digest
     assert pieces.summary(spark.createDataFrame([], "doc_id long, text string")).collect() == []
