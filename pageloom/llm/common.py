@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import gc
 import sys
-import tempfile
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.functions.iterate import settle, shared_folder
+
+__all__ = ["bitmap", "components", "free", "maybe", "per_worker", "settle", "shared_folder", "ship", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,25 +31,6 @@ def per_worker(key: tuple, make):
     return store[key]
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's shared checkpoint folder and go on from there.
-
-    Reliable checkpoints survive lost executors. The folder is the session's
-    spark.checkpoint.dir; only where none is set (tests) a temporary one is made.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pageloom-"))
-    cut = df.checkpoint(eager=True)
-    # A checkpoint keeps the estimated size of the plan that made it, and joins multiply estimates:
-    # over the rounds of a fixpoint they become numbers of millions of digits that stall the
-    # driver. The same rows under a plan without an estimate are planned by what is measured.
-    spark = df.sparkSession
-    fresh = spark._jsparkSession.internalCreateDataFrame(cut._jdf.queryExecution().toRdd(), cut._jdf.schema(), False)
-    return DataFrame(fresh, spark)
-
-
 def free(df: DataFrame) -> None:
     """Ask the session to let go of what finished steps left behind.
 
@@ -61,38 +45,38 @@ BITMAP_BITS = 1 << 23
 
 
 def bitmap(keys: DataFrame, column: str) -> DataFrame:
-    """A bitmap of fixed size, 2^17 rows of 64 bits at most, with a bit for each key's hash."""
+    """(word, bits): a bitmap of fixed size, 2^17 rows of 64 bits at most, with a bit for each key's hash."""
     bit = F.pmod(F.xxhash64(F.lit("bit"), column), F.lit(BITMAP_BITS))
-    rows = keys.select(F.shiftright(bit, 6).alias("_word"), F.expr("1L").alias("_one"), bit.bitwiseAND(F.lit(63).cast("long")).cast("int").alias("_at"))
-    return settle(rows.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(_one, _at)")).alias("_bits")))
+    rows = keys.select(F.shiftright(bit, 6).alias("word"), F.expr("1L").alias("one"), bit.bitwiseAND(F.lit(63).cast("long")).cast("int").alias("at"))
+    return settle(rows.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, at)")).alias("bits")))
 
 
 def maybe(df: DataFrame, column: str, bits: DataFrame, there: bool = True) -> DataFrame:
     """The rows whose key may be in the bitmap (all that are, some that aren't), or the others, which certainly aren't.
 
     The bitmap's size doesn't depend on the data, so every executor gets it; where very many keys
-    fill it, it only lets more rows through.
+    fill it, it only lets more rows through. df's columns stay in one struct meanwhile, so that no
+    name of theirs meets a helper's.
     """
     bit = F.pmod(F.xxhash64(F.lit("bit"), column), F.lit(BITMAP_BITS))
-    asked = df.withColumn("_word", F.shiftright(bit, 6)).withColumn("_at", bit.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    met = asked.join(F.broadcast(bits), "_word", "left")
-    hit = F.coalesce(F.expr("(shiftright(_bits, _at) & 1L) = 1L"), F.lit(False))
-    return met.where(hit if there else ~hit).select(*df.columns)
+    asked = df.select(F.struct(*df.columns).alias("own"), F.shiftright(bit, 6).alias("word"), bit.bitwiseAND(F.lit(63).cast("long")).cast("int").alias("at"))
+    met = asked.join(F.broadcast(bits), "word", "left")
+    hit = F.coalesce(F.expr("(shiftright(bits, at) & 1L) = 1L"), F.lit(False))
+    return met.where(hit if there else ~hit).select("own.*")
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components of links(a, b): returns (id, root) with the smallest id of each component.
 
     Distributed union-find: every round hooks each vertex to its smallest neighbour, shortens
     the paths, relabels the edges by what they hang on and drops those inside one tree, so edges
     only shrink. The parents of all rounds are then followed from the last round to the first. Ids that occur
-    in no link are absent. Null ends are ignored. All state is in DataFrames.
+    in no link are absent. Null ends are ignored. All state is in DataFrames. Every round takes edges
+    away, so it ends by itself however long the chains are.
     """
     edges = settle(links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     rounds: list[DataFrame] = []
     while not edges.isEmpty():
-        if len(rounds) >= max_rounds:
-            raise RuntimeError(f"components: no end after {max_rounds} rounds")
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = settle(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("up")))
         for _ in range(2):  # pointer jumping, so that long chains shrink by a factor each round

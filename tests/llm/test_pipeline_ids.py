@@ -14,3 +14,18 @@ def test_rows_without_ids_stay(spark):
     bare = spark.createDataFrame([(None, r.text, r.source) for r in plain.collect()], docs.schema)
     assert corpus_pipeline.mix_sources(spark, plain, "").count() > 0
     assert corpus_pipeline.mix_sources(spark, bare, "").count() > 0
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["time", "times", "n_lines", "n_dropped", "_id", "_word", "_text_mark", "own", "key", "place", "taken", "size", "row", "id"]
+
+    def text(k):
+        return "\n".join(" ".join(f"w{k}x{i}y{j}" for i in range(30)) for j in range(3))
+
+    docs = spark.createDataFrame([(i, text(i), "ab"[i % 2], len(text(i)), *[100 * i + n for n in range(len(names))]) for i in range(8)], "doc_id long, text string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for stage in (corpus_pipeline.drop_repeated_lines, corpus_pipeline.drop_near_copies, corpus_pipeline.mix_sources):
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert rows and all([r[n] for n in names] == [100 * r.doc_id + k for k in range(len(names))] for r in rows)
+        assert stage(spark, docs.where("false"), "").collect() == []
