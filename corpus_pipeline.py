@@ -4,18 +4,25 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 reread as the next stage's docs: toxic documents go; of lines that are alike one stays; of near
 duplicates one document stays; sources are mixed to their target weights (documents that the mix
 takes twice are there twice); texts are encoded into pieces.
+
+Defined results, in all stages: null and empty texts count as texts without words (not toxic unless
+the classifier's intercept says so, without lines, near duplicates of nothing); documents without
+words are never part of a mix, so they end at the mixing stage; rows that repeat an id are
+documents of their own, except that of near duplicates all rows with the id that stays do; rows
+without an id stay documents of their own; empty tables give empty results; further columns are
+carried along unchanged, whatever their names (n_chars follows the text where lines go).
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm import line_dedup, mixing, near_dedup, pieces, toxicity
-from pageloom.llm.common import settle
+from pageloom.llm.common import settle, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,31 +32,56 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, less the lines that are alike to an earlier one; n_chars follows the text."""
-    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    # The operator's own counts would take the place of columns of the same names.
+    held = docs.select("doc_id", "text", F.struct(*docs.columns).alias("own"))
+    left = line_dedup.dedup_lines(held)
+    now = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("text")}
+    return left.select(*[now.get(c, F.col("own")[c]).alias(c) for c in docs.columns])
+
+
+def _held(docs: DataFrame) -> DataFrame:
+    """(own, doc_id, text, source, place): docs' columns in one struct and a place that no two rows share.
+
+    Rows of files have one that each reading finds again; others are written down first.
+    """
+    own = F.struct(*docs.columns).alias("own")
+    plain = [F.col(c) for c in ("doc_id", "text", "source")]
+    try:
+        return docs.select(own, *plain, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("place"))
+    except AnalysisException:
+        row = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row")).alias("place")
+        return settle(docs.select(own, *plain, row))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key that is never null: the id or, where that is null, a number of the row's own past all ids."""
-    if docs.where("doc_id is null").isEmpty():
-        return docs.withColumn("_key", F.col("doc_id"))
-    last = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)).cast("long")).first()[0]
-    return settle(docs.withColumn("_key", F.coalesce(F.col("doc_id"), F.lit(last) + 1 + F.monotonically_increasing_id())))
+    """(own, key, text): docs' columns in one struct, and the id or, where that is null, a number of the row's own past all ids."""
+    held = _held(docs)
+    bare = held.where("doc_id is null").select("place")
+    if bare.isEmpty():
+        return held.select("own", F.col("doc_id").alias("key"), "text")
+    last = int(held.agg(F.coalesce(F.max("doc_id"), F.lit(0)).cast("long")).first()[0])
+    named = settle(bare.select("place", (F.lit(max(last, 0)) + 1 + F.monotonically_increasing_id()).alias("new")))
+    return held.join(named, "place", "left").select("own", F.coalesce("doc_id", "new").alias("key"), "text")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id; null ids come last."""
     keyed = _keyed(docs)
-    kept = near_dedup.near_duplicates(keyed, "_key").where("kept").select(F.col("id").alias("_key")).distinct()
-    return keyed.join(kept, "_key", "left_semi").select(*docs.columns)
+    kept = near_dedup.near_duplicates(keyed.select("key", "text"), "key").where("kept").select(F.col("id").alias("key")).distinct()
+    return keyed.join(kept, "key", "left_semi").select("own.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in whole documents: taken words over size, rounded."""
-    keyed = _keyed(docs)
-    taken = mixing.mix(keyed, "_key").where("taken > 0").select(F.col("id").alias("_key"), F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
-    # Rows that repeat an id are mixed one by one; together they come as often as the mix says on the mean.
-    taken = taken.groupBy("_key").agg(F.round(F.avg("times")).cast("int").alias("times")).where("times > 0")
-    return keyed.join(taken, "_key").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    """Documents as often as the mix takes them, in whole documents: taken words over size, rounded.
+
+    Only documents that a block's bound cuts are rounded, so a source is off its target by no more
+    than its schedule's discrepancy and half of such documents.
+    """
+    held = _held(docs)
+    taken = mixing.mix(held.select("doc_id", "text", "source", "place"), carry=("place",)).where("taken > 0")
+    times = taken.select("place", F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
+    repeated = held.select("own", "place").join(times, "place").select("own", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    return repeated.select("own.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,8 +103,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. Stages meet in Parquet tables in the cluster's shared folder."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pageloom-")
-    place = f"{folder}/pipeline-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
         at = f"{place}/{number}"
