@@ -244,7 +244,10 @@ def digest(ids) -> tuple[int, int]:
     flat = mix(np.asarray(ids, np.int64).astype(np.uint64) + np.uint64(1))
     if not _powers or len(_powers[0]) < len(flat):
         n = 1 << max(12, len(flat).bit_length())
-        _powers[:] = [np.cumprod(np.concatenate([[1], np.full(n - 1, b, np.uint64)]).astype(np.uint64)) for b in _BASES]
+        steps = [np.full(n, b, np.uint64) for b in _BASES]
+        for s in steps:
+            s[0] = 1
+        _powers[:] = [np.cumprod(s) for s in steps]
     return tuple(int((flat * p[: len(flat)]).sum(dtype=np.uint64).view(np.int64)) for p in _powers)
 
 
