@@ -141,7 +141,7 @@ def n23(spark, sf_dir):
     return p.groupBy("dataset").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_set("cp")), lambda c: c.cast("string"))).alias("cps"))
 
 
-@query("k4_segmentation_text", dsql(f"SELECT 'p' || (row_number() OVER (ORDER BY len(groups), list_transform(groups, lambda g: {{'n': len(g), 'g': g}})) - 1) || ': { ' || replace(nodes, ',', ', ') || ' }' AS line FROM gg"))
+@query("k4_segmentation_text", dsql(f"SELECT 'p' || (row_number() OVER (ORDER BY len(groups), list_transform(groups, lambda g: {{'n': len(g), 'g': g}})) - 1) || ': {{ ' || replace(nodes, ',', ', ') || ' }}' AS line FROM gg"))
 def k4(spark, sf_dir):
     g = dc.grouped(Discovery(spark, sf_dir).glyphs)
     no = (F.row_number().over(W.orderBy(cnf.sort_key(F.col("groups")))) - 1).cast("string")
