@@ -35,6 +35,20 @@ def glyph_conditions(analysis: DataFrame) -> DataFrame:
     return rows.select("node", groups.alias("groups"))
 
 
+def or_groups(analysis: DataFrame) -> DataFrame:
+    """(node, segments): the `or` segments of each glyph that no segment is necessary for."""
+    kinds = analysis.groupBy("node").agg(F.count(F.when(F.col("kind") != "or", 1)).alias("needed"), F.array_sort(F.collect_set("segment_id")).alias("segments"))
+    return kinds.where("needed = 0").select("node", "segments")
+
+
+def additional(either: DataFrame, others: DataFrame) -> DataFrame:
+    """(node, segments): glyphs that all segments outside their group bring together, so that the group isn't their whole condition.
+
+    either: or_groups(); others(segments, node): the closure of all segments but the group's.
+    """
+    return either.join(others, ["segments", "node"], "left_semi").select("node", "segments")
+
+
 def grouped(conditions: DataFrame) -> DataFrame:
     """(groups, nodes): glyphs by equal condition."""
     return conditions.groupBy("groups").agg(F.array_sort(F.collect_set("node")).alias("nodes"))

@@ -11,7 +11,7 @@ from ..operators import discover as dc
 from ..sources import corpus
 from ..sources import depgraph as dg
 from .algebra import _groups, _said
-from .graphs import ALL, INIT, SEG, WITHOUT, Graph
+from .graphs import _INIT, ALL, INIT, SEG, WITHOUT, Graph
 from .registry import query
 from .sqltext import query as sql
 
@@ -20,7 +20,13 @@ _PARTS |= {
     "dd": "SELECT r.request AS segment_id, a.node FROM (SELECT DISTINCT request FROM cw) r, ca a WHERE a.node LIKE 'G%' EXCEPT SELECT request, node FROM cw",
     "ii": "SELECT request AS segment_id, node FROM cs WHERE node LIKE 'G%' AND node NOT IN (SELECT node FROM ci)",
     "an": "SELECT coalesce(d.segment_id, i.segment_id) AS segment_id, coalesce(d.node, i.node) AS node, CASE WHEN d.node IS NOT NULL AND i.node IS NOT NULL THEN 'exclusive' WHEN d.node IS NOT NULL THEN 'and' ELSE 'or' END AS kind FROM dd d FULL JOIN ii i ON d.segment_id = i.segment_id AND d.node = i.node",
-    "gc": "SELECT node, CASE WHEN count(*) FILTER (WHERE kind <> 'or') > 0 THEN list_sort(list([segment_id]) FILTER (WHERE kind <> 'or')) ELSE [list_sort(list(segment_id))] END AS groups FROM an GROUP BY node",
+    "orn": "SELECT node, list_sort(list(segment_id)) AS g FROM an GROUP BY node HAVING count(*) FILTER (WHERE kind <> 'or') = 0",
+    "org": "SELECT row_number() OVER (ORDER BY g) AS request, g FROM (SELECT DISTINCT g FROM orn)",
+}
+_PARTS |= dg.sql_closure(f"SELECT request, 'U' || cp AS node FROM seg, org WHERE NOT list_contains(g, segment_id) UNION ALL {_INIT.format('SELECT request FROM org')}", "cx")
+_PARTS |= {
+    "xx": "SELECT n.node, g FROM orn n JOIN org USING (g) JOIN cx ON cx.request = org.request AND cx.node = n.node",
+    "gc": "SELECT node, CASE WHEN count(*) FILTER (WHERE kind <> 'or') > 0 THEN list_sort(list([segment_id]) FILTER (WHERE kind <> 'or')) ELSE [list_sort(list(segment_id))] END AS groups FROM an WHERE node NOT IN (SELECT node FROM xx) GROUP BY node",
     "gg": "SELECT groups, array_to_string(list_sort(list(node)), ',') AS nodes FROM gc GROUP BY groups",
 }
 
@@ -30,7 +36,10 @@ def dsql(final, **more):
 
 
 class Discovery(Graph):
-    """Closures of all segments in four batches, written once."""
+    """Closures of all segments in four batches, written once, and one of what is outside each `or` group.
+
+    Glyphs that these others bring too have additional conditions; they get none here, as the fallback has them.
+    """
 
     def __init__(self, spark, sf_dir):
         super().__init__(spark, sf_dir)
@@ -40,7 +49,16 @@ class Discovery(Graph):
         self.without = settle(self.closed(self.without_segment()).where(glyph).select(F.col("request").alias("segment_id"), "node"))
         self.alone = settle(self.closed(self.by_segment()).where(glyph).select(F.col("request").alias("segment_id"), "node"))
         self.analysis = settle(dc.analyse(self.full, self.without, self.alone, self.init))
-        self.glyphs = settle(dc.glyph_conditions(self.analysis))
+        either = settle(dc.or_groups(self.analysis))
+        self.extra = settle(dc.additional(either, self.outside(either.select("segments").distinct())))
+        self.glyphs = settle(dc.glyph_conditions(self.analysis).join(self.extra, "node", "left_anti"))
+
+    def outside(self, groups):
+        """(segments, node): the closure of all segments but those of each group."""
+        named = settle(groups.select((F.row_number().over(W.orderBy("segments"))).alias("request"), "segments"))
+        rest = named.join(F.broadcast(self.segments().select("segment_id", "cp")), ~F.array_contains("segments", F.col("segment_id")))
+        start = rest.select("request", F.concat(F.lit("U"), F.col("cp")).alias("node")).unionByName(self._init(named.select("request")))
+        return self.closed(start).join(named, "request").select("segments", "node")
 
 
 @query("n1_analyse_segments", dsql("SELECT segment_id, node, kind FROM an"))
@@ -85,11 +103,10 @@ def n11u(spark, sf_dir):
     return dc.unmapped(d.full, d.init, d.glyphs)
 
 
-@query("n12_additional_conditions", dsql("SELECT a.segment_id, a.node FROM an a JOIN cw ON cw.request = a.segment_id AND cw.node = a.node WHERE a.kind = 'or'"))
+@query("n12_additional_conditions", dsql("SELECT node, array_to_string(g, '|') AS condition FROM xx"))
 def n12(spark, sf_dir):
-    """`or` glyphs that still appear without the segment."""
-    d = Discovery(spark, sf_dir)
-    return d.analysis.where("kind = 'or'").join(d.without, ["segment_id", "node"], "left_semi").select("segment_id", "node")
+    """Glyphs of `or` groups that still appear without all segments of the group, with that group."""
+    return Discovery(spark, sf_dir).extra.select("node", F.concat_ws("|", F.transform("segments", lambda x: x.cast("string"))).alias("condition"))
 
 
 @query("n15_combined_patches", dsql("SELECT root, count(*)::BIGINT AS n FROM (SELECT g.node, min(h.node) AS root FROM gc g JOIN gc h ON list_has_any(flatten(g.groups), flatten(h.groups)) AND len(flatten(g.groups)) = 1 AND len(flatten(h.groups)) = 1 GROUP BY 1) GROUP BY 1"))

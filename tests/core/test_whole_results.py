@@ -22,3 +22,15 @@ def test_against_sql(spark, sf_dir, name):
     assert all(a == pytest.approx(b, abs=1e-5) if isinstance(a, float) else a == b for x, y in zip(ours, theirs) for a, b in zip(x, y))
     if "dataset" in cols and name != "o14_best_candidate_by_dataset" and name != "m13_init_moves_by_dataset":
         assert len({r.dataset for r in rows}) > 1
+
+
+def test_or_groups_are_checked_against_the_segments_outside(spark):
+    """G1 comes with 1 or 2, or with 3 and 4 together: the group {1, 2} isn't its whole condition; G2's group is."""
+    from pageloom.operators import discover as dc
+
+    analysis = spark.createDataFrame([(1, "G1", "or"), (2, "G1", "or"), (1, "G2", "or"), (2, "G2", "or"), (3, "G3", "and"), (4, "G3", "or")], "segment_id int, node string, kind string")
+    either = dc.or_groups(analysis)
+    assert sorted((r.node, r.segments) for r in either.collect()) == [("G1", [1, 2]), ("G2", [1, 2])]
+    others = spark.createDataFrame([([1, 2], "G1"), ([1, 2], "G3")], "segments array<int>, node string")
+    assert [(r.node, r.segments) for r in dc.additional(either, others).collect()] == [("G1", [1, 2])]
+    assert dc.additional(either.limit(0), others).isEmpty()
