@@ -6,8 +6,8 @@ found leftmost first, without overlaps within its kind, and matches that fail it
 Candidates for the entropy scan are runs of 20 and more letters, digits and +/_=- . Each run is
 told by its characters to be decimal, hexadecimal, of one letter case, or mixed, and has that
 class's threshold. Over windows of 20 characters the entropy is log2(20) - S / 20 with S the sum
-of c * log2(c) over the window's character counts c; moving the window by one changes two counts,
-so S changes by two differences only. A run whose largest window entropy reaches the threshold
+of c * log2(c) over the window's character counts c; these counts are carried along: moving the
+window by one changes two of them, so S changes by two differences only. A run whose largest window entropy reaches the threshold
 is a span of kind entropy, unless the allow list holds it: decimal numbers, UUID-like and path-like
 runs, runs of words in one letter case joined by - _ or /, sequences in alphabetical or keyboard order, placeholders
 (in what follows the last = or /: names and paths before a value say nothing of it).
@@ -57,33 +57,53 @@ ALLOWED = (
 )
 
 
+#: Characters of runs are told by their ASCII code less FIRST; counts up to WINDOW take BITS bits, PACKED of them one number.
+FIRST, LAST, BITS, PACKED = ord("+"), ord("z"), 5, 12
+
+
 def _gain(c: Column) -> Column:
-    """c * log2(c), 0 for 0: by table, as counts end at the window."""
-    return F.element_at(F.array(*[F.lit(0.0 if k < 2 else k * math.log2(k)) for k in range(WINDOW + 1)]), (c + 1).cast("int"))
+    """What a sum of c * log2(c) gains where a count goes from c to c + 1: by table, as counts end at the window."""
+    of = [0.0 if k < 2 else k * math.log2(k) for k in range(WINDOW + 2)]
+    return F.get(F.array(*[F.lit(of[k + 1] - of[k]) for k in range(WINDOW + 1)]), c.cast("int"))
 
 
 def window_entropy(run: Column) -> Column:
-    """The largest Shannon entropy in bits of WINDOW successive characters of a run that is at least so long."""
-    chars = F.split(run, "")
-    n = F.size(chars)
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("least"))
-
-    def count(window: Column, c: Column) -> Column:
-        return F.size(window) - F.size(F.array_remove(window, c))
-
-    def step(acc: Column, i: Column) -> Column:
-        # i: the entering character's number, from 1. The window before it holds up to WINDOW characters.
-        start = F.greatest(i - WINDOW, F.lit(1))
-        before = F.slice(chars, start, F.least(i - 1, F.lit(WINDOW)))
-        full = i > WINDOW
-        out, new = F.get(chars, i - WINDOW - 1), F.get(chars, i - 1)
-        k_out = F.when(full, count(before, F.coalesce(out, F.lit("")))).otherwise(F.lit(0))
-        k_new = count(before, new) - F.when(full & (out == new), F.lit(1)).otherwise(F.lit(0))
-        s = acc["s"] - F.when(full, _gain(k_out) - _gain(k_out - 1)).otherwise(F.lit(0.0)) + _gain(k_new + 1) - _gain(k_new)
-        least = F.when(i == WINDOW, s).when(full, F.least(acc["least"], s)).otherwise(acc["least"])
-        return F.struct(s.alias("s"), least.alias("least"))
-
-    return F.aggregate(F.sequence(F.lit(1), n), zero, step, lambda acc: F.lit(math.log2(WINDOW)) - acc["least"] / F.lit(float(WINDOW)))
+    """The largest Shannon entropy in bits of WINDOW successive characters of a run that is at least so long and has characters from + to z only.
+
+    The window's counts by character are carried along, packed into a few numbers: a step lowers
+    one count, raises another, and looks up what the sum loses and gains by that.
+    """
+    codes = F.transform(F.split(run, ""), lambda c: F.ascii(c) - FIRST)
+    none = F.array(*[F.lit(0).cast("long")] * ((LAST - FIRST) // PACKED + 1))
+    zero = F.struct(none.alias("counts"), F.lit(0.0).alias("s"), F.lit(math.inf).alias("least"))
+
+    def word(c: Column) -> Column:
+        return F.floor(c / PACKED).cast("int")
+
+    def bit(c: Column) -> Column:
+        return (c % PACKED) * BITS
+
+    def count(counts: Column, c: Column) -> Column:
+        return F.call_function("shiftright", F.get(counts, word(c)), bit(c)).bitwiseAND((1 << BITS) - 1)
+
+    def one(c: Column, number: Column) -> Column:
+        return F.when(word(c) == number, F.call_function("shiftleft", F.lit(1).cast("long"), bit(c))).otherwise(F.lit(0).cast("long"))
+
+    def step(acc: Column, x: Column) -> Column:
+        # x: the entering character and the one that leaves, null while the window fills.
+        new, out = x["new"], x["out"]
+        full = out.isNotNull()
+        lost = F.when(full, _gain(count(acc["counts"], out) - 1)).otherwise(F.lit(0.0))
+        s = acc["s"] - lost + _gain(count(acc["counts"], new) - F.when(full & (out == new), F.lit(1)).otherwise(F.lit(0)))
+        counts = F.transform(acc["counts"], lambda w, k: w + one(new, k) - F.when(full, one(out, k)).otherwise(F.lit(0).cast("long")))
+        least = F.when(x["last"], F.least(acc["least"], s)).otherwise(acc["least"])
+        return F.struct(counts.alias("counts"), s.alias("s"), least.alias("least"))
+
+    def best(c: Column) -> Column:
+        moves = F.transform(c, lambda new, i: F.struct(new.alias("new"), F.get(c, i - WINDOW).alias("out"), (i >= WINDOW - 1).alias("last")))
+        return F.aggregate(moves, zero, step, lambda acc: F.lit(math.log2(WINDOW)) - acc["least"] / F.lit(float(WINDOW)))
+
+    return F.get(F.transform(F.array(codes), best), 0)
 
 
 def _suspicious(run: Column) -> Column:
