@@ -21,14 +21,35 @@ def test_recipes_with_weak_hashes(spark):
 
 
 def test_chunks_hold_the_whole_text(spark):
-    import re
+    from pyspark.sql import functions as F
 
     rng = random.Random(9)
     texts = ["".join(rng.choice("ab. \n漢😀") for _ in range(rng.randint(0, 900))) for _ in range(40)]
+    texts += ["", "x" * 500, "\ufeffab" * 40, *["".join(rng.choice("漢字仮名交文") for _ in range(600)) for _ in range(20)]]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    rows = df.selectExpr("t", f"regexp_extract_all(t, r'{exact_dedup.chunk_pattern(8, 32)}', 0) AS c").collect()
-    assert all("".join(r.c) == r.t and all(len(x) <= 33 for x in r.c) for r in rows)
-    assert re.compile("x")
+    parts = F.transform(F.filter("s", lambda x: F.length(x) > 32), lambda x: exact_dedup._parts(x, 3))
+    rows = df.withColumn("s", exact_dedup.stretches(F.col("t"), 8)).select("t", "s", parts.alias("parts")).collect()
+    several = 0
+    for r in rows:
+        assert "".join(r.s) == r.t
+        long = [x for x in r.s if len(x) > 32]
+        assert all(p[-1] == 255 for of in r.parts for p in of)
+        assert [b"".join(bytes(p[:-1]) for p in of).decode("utf-32-be") for of in r.parts] == long
+        several += sum(len(of) > 1 for of in r.parts)
+    assert several > 10
+
+
+def test_an_edit_changes_few_chunks(spark):
+    """Also where no sentence ends: what is put in front moves no later cut."""
+    rng = random.Random(11)
+    from pyspark.sql import functions as F
+
+    for text in ("".join(rng.choice("ABCDabcd0123+/") for _ in range(60_000)), "".join(rng.choice("漢字仮名交文言葉") for _ in range(60_000)), "A line of words that ends. " * 10 + "".join(rng.choice("ab .") for _ in range(60_000))):
+        df = spark.createDataFrame([(0, text), (1, "x" + text), (2, text[:30_000] + "yz" + text[30_000:])], "i int, t string")
+        got = {r.i: [bytes(x.d) for x in r.refs] for r in df.select("i", exact_dedup.references(F.col("t")).alias("refs")).collect()}
+        assert len(got[0]) > 20
+        for i in (1, 2):
+            assert len(set(got[i]) - set(got[0])) <= 3
 
 
 def test_exact_empty_table_and_clashing_names(spark):
