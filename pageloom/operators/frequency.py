@@ -11,7 +11,8 @@ LAYOUT_TAG = 0.001  # probability of any one layout feature
 
 def single_counts(pages: DataFrame) -> DataFrame:
     """(dataset, cp1, cp2, n) with cp1 = cp2: pages that have the codepoint."""
-    each = pages.select("dataset", F.explode("cps").alias("cp1"))
+    # Explode would infer a filter on cps, below it, and make cps of the text a second time for it.
+    each = pages.select("dataset", F.explode_outer("cps").alias("cp1")).where("cp1 is not null")
     return each.groupBy("dataset", "cp1").agg(F.count("*").alias("n")).select("dataset", "cp1", F.col("cp1").alias("cp2"), "n")
 
 
@@ -21,13 +22,19 @@ def pair_counts(pages: DataFrame) -> DataFrame:
     A page's pairs are made from its own array, so no page is joined with itself; counts are
     summed up before the exchange and the exchange has one row a pair and task.
     """
-    first = pages.select("dataset", "cps", F.explode("cps").alias("cp1"))
-    both = first.select("dataset", "cp1", F.explode(F.filter("cps", lambda c: c > F.col("cp1"))).alias("cp2"))
-    return both.groupBy("dataset", "cp1", "cp2").agg(F.count("*").alias("n"))
+    return _met(pages, 2)
 
 
 def counts(pages: DataFrame) -> DataFrame:
-    return single_counts(pages).unionByName(pair_counts(pages))
+    """single_counts and pair_counts in one pass."""
+    return _met(pages, 1)
+
+
+def _met(pages: DataFrame, ahead: int) -> DataFrame:
+    """Each codepoint of a page, whose cps are sorted and distinct, with those from `ahead` places after it, counted from 1 for itself."""
+    first = pages.select("dataset", "cps", F.posexplode_outer("cps").alias("at", "cp1"))
+    both = first.select("dataset", "cp1", F.explode_outer(F.slice("cps", F.col("at") + ahead, F.size("cps"))).alias("cp2"))
+    return both.where("cp2 is not null").groupBy("dataset", "cp1", "cp2").agg(F.count("*").alias("n"))
 
 
 def accumulate(records: DataFrame, *keys: str) -> DataFrame:

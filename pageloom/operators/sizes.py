@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.corpus import OVERHEAD, RATIO, glyph_bytes
+from ..sources.corpus import OVERHEAD, RATIO, glyph_bytes, page_codepoints
 
 
 def estimate(n, raw, tables: int = 1, ratio: float = RATIO):
@@ -38,5 +38,5 @@ def loaded(page_segments: DataFrame, literals: DataFrame) -> DataFrame:
 
 def page_segments(pages: DataFrame, segments: DataFrame) -> DataFrame:
     """(page, dataset, segment_id), distinct; segments(segment_id, cp)."""
-    each = pages.select("page", "dataset", F.explode("cps").alias("cp"))
+    each = page_codepoints(pages)
     return each.join(segments.select("cp", "segment_id"), "cp").select("page", "dataset", "segment_id").distinct()

@@ -21,10 +21,8 @@ _SETS = """
 
 def pairs(spark, sf_dir):
     """(da, db, a, b)."""
-    from ..operators.frequency import single_counts
-
     w = World(spark, sf_dir)
-    single = single_counts(w.pages)
+    single = w.single()
     n = w.pages.groupBy("dataset").agg(F.count("*").alias("pages"))
     a = single.groupBy("dataset").agg(F.array_sort(F.collect_list("cp1")).alias("a")).withColumnRenamed("dataset", "da")
     b = single.join(n, "dataset").where(2 * F.col("n") >= F.col("pages")).groupBy("dataset").agg(F.array_sort(F.collect_list("cp1")).alias("b")).withColumnRenamed("dataset", "db")
@@ -82,7 +80,7 @@ _AX = "SELECT dataset, min(cp)::DOUBLE AS lo, (count(*) * 3 % 140)::DOUBLE + 40
 
 def _axes(spark, sf_dir):
     w = World(spark, sf_dir)
-    each = w.pages.select("dataset", F.explode("cps").alias("cp")).where("cp > 32").distinct()
+    each = w.single().select("dataset", F.col("cp1").alias("cp")).where("cp > 32")
     ax = each.groupBy("dataset").agg(F.min("cp").cast("double").alias("lo"), ((F.count("*") * 3 % 140).cast("double") + 40).alias("hi"))
     a = ax.select(F.col("dataset").alias("da"), F.struct(F.col("lo").alias("start"), F.col("hi").alias("end")).alias("a"))
     b = ax.select(F.col("dataset").alias("db"), F.struct(F.col("lo").alias("start"), F.col("hi").alias("end")).alias("b"))
@@ -155,9 +153,7 @@ def a24(spark, sf_dir):
 @query("a26_disjoint_codepoints", sql("SELECT cp1 AS cp, count(*)::BIGINT AS n FROM single GROUP BY 1 HAVING count(*) > 1", "single"))
 def a26(spark, sf_dir):
     """Codepoints in more than one dataset, were datasets segments."""
-    from ..operators.frequency import single_counts
-
-    return single_counts(World(spark, sf_dir).pages).groupBy(F.col("cp1").alias("cp")).agg(F.count("*").alias("n")).where("n > 1")
+    return World(spark, sf_dir).single().groupBy(F.col("cp1").alias("cp")).agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query("a27_segments_disjoint", sql("SELECT count(*)::BIGINT AS clashes FROM (SELECT cp FROM seg GROUP BY cp HAVING count(*) > 1 UNION ALL SELECT cp FROM seg WHERE cp <= 32)", "seg"))

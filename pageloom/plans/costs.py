@@ -83,7 +83,7 @@ def page_cost(w: World):
     ),
 )
 def f24_page(spark, sf_dir):
-    return page_cost(World(spark, sf_dir))
+    return page_cost(World(spark, sf_dir, pairs=True))
 
 
 @query(

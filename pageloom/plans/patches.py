@@ -132,9 +132,7 @@ def p14(spark, sf_dir):
 @query("e7_table_diff", sql("SELECT coalesce(a.cp, b.cp)::VARCHAR AS tag, CASE WHEN a.cp IS NULL THEN 'new' WHEN b.cp IS NULL THEN 'removed' WHEN a.n <> b.n THEN 'replaced' ELSE 'unchanged' END AS change FROM (SELECT cp1 AS cp, n FROM single WHERE dataset = 'de') a FULL JOIN (SELECT cp1 AS cp, n FROM single WHERE dataset = 'fr') b ON a.cp = b.cp", "single"))
 def e7(spark, sf_dir):
     """Two datasets as builds, codepoints as table tags and page counts as contents."""
-    from ..operators.frequency import single_counts
-
-    s = single_counts(corpus.pages(spark, sf_dir)).select("dataset", F.col("cp1").cast("string").alias("tag"), F.col("n").alias("digest"))
+    s = World(spark, sf_dir).single().select("dataset", F.col("cp1").cast("string").alias("tag"), F.col("n").alias("digest"))
     return pt.table_diff(s.where("dataset = 'de'").drop("dataset"), s.where("dataset = 'fr'").drop("dataset"))
 
 

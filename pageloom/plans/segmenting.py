@@ -15,7 +15,7 @@ from .statistics import World, r9
 
 
 def _covered(w):
-    return fr.coverage(fr.single_counts(w.pages)).select("dataset", F.explode("cps").alias("cp"))
+    return fr.coverage(w.single()).select("dataset", F.explode("cps").alias("cp"))
 
 
 @query("o1_define_segments", sql("SELECT (row_number() OVER (ORDER BY part, cp, value) - 1)::INT AS segment_id, kind, value FROM (SELECT 0 AS part, 'feature' AS kind, unnest(['liga', 'smcp']) AS value, 0 AS cp UNION ALL SELECT 1, 'codepoint', cp::VARCHAR, cp FROM font WHERE cp > 32)", "font"))
@@ -55,7 +55,7 @@ _BEST = "SELECT segment_id, arg_max(p_min, (p_min, p_max)) AS p_min, arg_max(p_m
 
 @query("o6_segment_probabilities", sql("SELECT segment_id, round(p_min, 9) AS p_min, round(p_max, 9) AS p_max FROM bb", "seg", "single", "seg_bound", cov=_COV, mg=_GRP, bb=_BEST))
 def o6(spark, sf_dir):
-    w = World(spark, sf_dir)
+    w = World(spark, sf_dir, pairs=True)
     return sg.best_bounds(sg.merge_groups(w.segments(), _covered(w)), w.bounds()).withColumns({"p_min": r9("p_min"), "p_max": r9("p_max")})
 
 
@@ -77,18 +77,18 @@ def ordered(w):
 
 @query("o7_segment_order", sql("SELECT segment_id, ord, p FROM o", "ids", "seg", "single", "seg_bound", **_ORDERED))
 def o7(spark, sf_dir):
-    return ordered(World(spark, sf_dir))
+    return ordered(World(spark, sf_dir, pairs=True))
 
 
 @query("o8_pregroup_segments", sql("SELECT ord, segment_id, p, coalesce(head, ord)::INT AS head FROM o LEFT JOIN (SELECT ord, min(ord) OVER (PARTITION BY block) AS head FROM (SELECT ord, (row_number() OVER (ORDER BY ord) - 1) // 3 AS block FROM o WHERE p < 0.9)) USING (ord)", "ids", "seg", "single", "seg_bound", **_ORDERED))
 def o8(spark, sf_dir):
-    return sg.pregroup(ordered(World(spark, sf_dir)), 0.9, 3).select("ord", "segment_id", "p", "head")
+    return sg.pregroup(ordered(World(spark, sf_dir, pairs=True)), 0.9, 3).select("ord", "segment_id", "p", "head")
 
 
 @query("o9_frequency_order", sql("SELECT cp1 AS cp, n, row_number() OVER (ORDER BY n DESC NULLS LAST, cp1)::INT AS ord FROM (SELECT cp1, CASE WHEN sum(n) > 1 THEN sum(n)::BIGINT END AS n FROM single GROUP BY 1)", "single"))
 def o9(spark, sf_dir):
     """By falling frequency, unknown ones (seen once) last, then by codepoint."""
-    s = fr.single_counts(World(spark, sf_dir).pages).groupBy(F.col("cp1").alias("cp")).agg(F.sum("n").alias("n"))
+    s = World(spark, sf_dir).single().groupBy(F.col("cp1").alias("cp")).agg(F.sum("n").alias("n"))
     s = s.withColumn("n", F.when(F.col("n") > 1, F.col("n")))
     return s.withColumn("ord", F.row_number().over(W.orderBy(F.col("n").desc_nulls_last(), "cp")))
 
@@ -98,7 +98,7 @@ _COST = "SELECT ord, round(p * (size + 75), 6) AS cost FROM o JOIN sizes ON cond
 
 @query("o10_segment_cutoff", sql("SELECT ord, cost, sum(cost) OVER (ORDER BY ord DESC) >= (SELECT sum(cost) FROM c) * 0.2 AS kept FROM c", "ids", "seg", "single", "seg_bound", "sizes", **_ORDERED, c=_COST))
 def o10(spark, sf_dir):
-    w = World(spark, sf_dir)
+    w = World(spark, sf_dir, pairs=True)
     costs = ordered(w).join(sz.patch_sizes(w.patch_glyphs()), F.col("condition_id") == F.col("segment_id")).select("ord", F.round(F.col("p") * (F.col("size") + 75), 6).alias("cost"))
     return sg.cutoff(costs, 0.2)
 
@@ -106,7 +106,7 @@ def o10(spark, sf_dir):
 @query("o11_init_candidates", sql("SELECT segment_id FROM o WHERE p >= 0.95", "ids", "seg", "single", "seg_bound", **_ORDERED))
 def o11(spark, sf_dir):
     """Segments likely enough to be checked for the initial font."""
-    return ordered(World(spark, sf_dir)).where("p >= 0.95").select("segment_id")
+    return ordered(World(spark, sf_dir, pairs=True)).where("p >= 0.95").select("segment_id")
 
 
 @query("o12_patch_merge_order", sql("SELECT condition_id, round(p, 9) AS p, row_number() OVER (PARTITION BY dataset ORDER BY round(p, 9) DESC, condition_id)::INT AS ord, dataset FROM cp WHERE condition_id >= 1000", "lit", "seg_uni", cp="SELECT dataset, condition_id, product(g) AS p FROM (SELECT dataset, condition_id, group_no, 1 - product(1 - p) AS g FROM lit JOIN seg_uni USING (segment_id) GROUP BY 1, 2, 3) GROUP BY 1, 2"))

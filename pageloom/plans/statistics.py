@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.iterate import settle
 from ..operators import frequency as fr
 from ..operators import probability as pr
 from ..sources import corpus
@@ -12,11 +13,19 @@ from .sqltext import query as sql
 
 
 class World:
-    """The corpus tables of one scale, made on demand."""
+    """The corpus tables of one scale, made on demand.
 
-    def __init__(self, spark, sf_dir):
+    Counts, and the segments made of them, are written down when they are first asked for: everything
+    but the pages is made of these tables, which Unicode bounds, so a query reads the texts once for
+    all of them however often it names them. pairs: pairs of codepoints are wanted too, and one pass
+    counts both.
+    """
+
+    def __init__(self, spark, sf_dir, pairs=False):
         self.spark, self.sf_dir = spark, sf_dir
         self.pages = corpus.pages(spark, sf_dir)
+        if pairs:
+            self.counts()
 
     def _once(self, name, make):
         if name not in self.__dict__:
@@ -24,13 +33,17 @@ class World:
         return self.__dict__[name]
 
     def font(self):
-        return self._once("_font", lambda: corpus.font(self.pages))
+        return self._once("_font", lambda: corpus.number(self.single().select(F.col("cp1").alias("cp"))))
 
     def segments(self):
-        return self._once("_segments", lambda: corpus.segments(self.font()))
+        return self._once("_segments", lambda: settle(corpus.segments(self.font())))
 
     def counts(self):
-        return self._once("_counts", lambda: fr.counts(self.pages))
+        return self._once("_counts", lambda: settle(fr.counts(self.pages)))
+
+    def single(self):
+        """(dataset, cp1, cp2, n) of single codepoints; their largest count is also that of all counts, as no pair has more pages than its parts."""
+        return self._once("_single", lambda: self._counts.where("cp1 = cp2") if "_counts" in self.__dict__ else settle(fr.single_counts(self.pages)))
 
     def prob(self):
         return self._once("_prob", lambda: fr.probabilities(self.counts()))
@@ -45,8 +58,8 @@ class World:
         """(dataset, segment_id, cp, p)."""
 
         def make():
-            wanted = self.segments().select("segment_id", "cp").crossJoin(F.broadcast(fr.single_counts(self.pages).select("dataset").distinct()))
-            return fr.single_probability(wanted, self.prob(), fr.unknown(self.counts())).select("dataset", "segment_id", "cp", "p")
+            wanted = self.segments().select("segment_id", "cp").crossJoin(F.broadcast(self.single().select("dataset").distinct()))
+            return settle(fr.single_probability(wanted, fr.probabilities(self.single()), fr.unknown(self.single())).select("dataset", "segment_id", "cp", "p"))
 
         return self._once("_seg_cp", make)
 
@@ -84,13 +97,13 @@ _WANTED = "SELECT dataset, unnest([65, 233, 8364, 128512]) AS cp FROM datasets"
 @query("f4_single_probability", sql("SELECT w.dataset, w.cp, round(coalesce(u.p, b.unknown), 9) AS p FROM w JOIN best b USING (dataset) LEFT JOIN uni u ON u.dataset = w.dataset AND u.cp = w.cp", "uni", "best", "datasets", w=_WANTED))
 def f4(spark, sf_dir):
     w = World(spark, sf_dir)
-    wanted = fr.coverage(w.counts()).select("dataset", F.explode(F.array(*map(F.lit, (65, 233, 8364, 128512)))).alias("cp"))
-    return fr.single_probability(wanted, w.prob(), fr.unknown(w.counts())).select("dataset", "cp", r9("p").alias("p"))
+    wanted = fr.coverage(w.single()).select("dataset", F.explode(F.array(*map(F.lit, (65, 233, 8364, 128512)))).alias("cp"))
+    return fr.single_probability(wanted, fr.probabilities(w.single()), fr.unknown(w.single())).select("dataset", "cp", r9("p").alias("p"))
 
 
 @query("f5_pair_probability", sql("SELECT dataset, segment_id, a, b, round(pab, 9) AS pab FROM seg_pair", "seg_pair"))
 def f5(spark, sf_dir):
-    w = World(spark, sf_dir)
+    w = World(spark, sf_dir, pairs=True)
     s = w.seg_cp()
     x = s.select("dataset", "segment_id", F.col("cp").alias("a"), F.col("p").alias("pa"))
     y = s.select("dataset", "segment_id", F.col("cp").alias("b"), F.col("p").alias("pb"))
@@ -104,12 +117,12 @@ def f6(spark, sf_dir):
 
 @query("f7_covered_codepoints", sql("SELECT dataset, cp1 AS cp FROM counts WHERE cp1 = cp2", "counts"))
 def f7(spark, sf_dir):
-    return fr.coverage(World(spark, sf_dir).counts()).select("dataset", F.explode("cps").alias("cp"))
+    return fr.coverage(World(spark, sf_dir).single()).select("dataset", F.explode("cps").alias("cp"))
 
 
 @query("s7_dataset_coverage", sql("SELECT dataset, array_to_string(list_sort(list(cp1)), ',') AS cps FROM single GROUP BY dataset", "single"))
 def s7(spark, sf_dir):
-    return fr.coverage(fr.single_counts(World(spark, sf_dir).pages)).select("dataset", F.concat_ws(",", F.transform("cps", lambda c: c.cast("string"))).alias("cps"))
+    return fr.coverage(World(spark, sf_dir).single()).select("dataset", F.concat_ws(",", F.transform("cps", lambda c: c.cast("string"))).alias("cps"))
 
 
 @query("f8_unigram_segment", sql("SELECT dataset, segment_id, round(p, 9) AS p FROM seg_uni", "seg_uni"))
@@ -119,24 +132,24 @@ def f8(spark, sf_dir):
 
 @query("f9_merged_unigram", sql("SELECT dataset, (segment_id // 2)::INT AS pair_id, round(1 - product(1 - (p_min + p_max) / 2), 9) AS p FROM seg_bound GROUP BY 1, 2", "seg_bound"))
 def f9(spark, sf_dir):
-    b = World(spark, sf_dir).bounds().select("dataset", F.floor(F.col("segment_id") / 2).cast("int").alias("pair_id"), pr.bound_average().alias("p"))
+    b = World(spark, sf_dir, pairs=True).bounds().select("dataset", F.floor(F.col("segment_id") / 2).cast("int").alias("pair_id"), pr.bound_average().alias("p"))
     return pr.any_of(b, "dataset", "pair_id").withColumn("p", r9("p"))
 
 
 @query("f10_conjunctive_unigram", sql("SELECT dataset, (segment_id // 2)::INT AS pair_id, round(product((p_min + p_max) / 2), 9) AS p FROM seg_bound GROUP BY 1, 2", "seg_bound"))
 def f10(spark, sf_dir):
-    b = World(spark, sf_dir).bounds().select("dataset", F.floor(F.col("segment_id") / 2).cast("int").alias("pair_id"), pr.bound_average().alias("p"))
+    b = World(spark, sf_dir, pairs=True).bounds().select("dataset", F.floor(F.col("segment_id") / 2).cast("int").alias("pair_id"), pr.bound_average().alias("p"))
     return pr.all_of(b, "dataset", "pair_id").withColumn("p", r9("p"))
 
 
 @query("f11_pair_bounds", sql("SELECT dataset, segment_id, round(p_min, 9) AS p_min, round(p_max, 9) AS p_max FROM seg_bound", "seg_bound"))
 def f11(spark, sf_dir):
-    return World(spark, sf_dir).bounds().withColumns({"p_min": r9("p_min"), "p_max": r9("p_max")})
+    return World(spark, sf_dir, pairs=True).bounds().withColumns({"p_min": r9("p_min"), "p_max": r9("p_max")})
 
 
 @query("f12_bounds_with_tags", sql("SELECT dataset, segment_id, round(CASE WHEN segment_id % 3 > 0 THEN greatest(p_min, 0.001::DOUBLE) ELSE p_min END, 9) AS p_min, round(least(1.0::DOUBLE, p_max + least(1.0::DOUBLE, (segment_id % 3) * 0.001::DOUBLE)), 9) AS p_max FROM seg_bound", "seg_bound"))
 def f12(spark, sf_dir):
-    b = World(spark, sf_dir).bounds().withColumn("n_tags", F.col("segment_id") % 3)
+    b = World(spark, sf_dir, pairs=True).bounds().withColumn("n_tags", F.col("segment_id") % 3)
     return pr.with_tags(b).drop("n_tags").withColumns({"p_min": r9("p_min"), "p_max": r9("p_max")})
 
 
@@ -158,7 +171,7 @@ _MERGED = dict(o=_OR, op=_OR_PAIR, os=_OR_STAR, ob=_OR_BOUND, bb=_BEST)
 @query("f13_merged_pair_bounds", sql("SELECT dataset, condition_id, round(greatest(p_min, best), 9) AS p_min, round(greatest(p_max, best), 9) AS p_max FROM ob JOIN bb USING (dataset, condition_id)", "lit", "seg_cp", "prob", "seg_bound", **_MERGED))
 def f13(spark, sf_dir):
     """Two neighbouring segments merged: bounds of the union, at least the better one's."""
-    w = World(spark, sf_dir)
+    w = World(spark, sf_dir, pairs=True)
     lits = w.literals().where("condition_id between 1000 and 1999")
     got = pr.condition_bounds(lits, w.seg_cp(), w.bounds(), w.prob())
     return got.select("dataset", "condition_id", r9("p_min").alias("p_min"), r9("p_max").alias("p_max"))
@@ -166,14 +179,14 @@ def f13(spark, sf_dir):
 
 @query("f14_conjunctive_pair_bounds", sql("SELECT dataset, condition_id, round(greatest(0.0::DOUBLE, sum(p_min) - count(*) + 1), 9) AS p_min, round(least(1.0::DOUBLE, min(p_max)), 9) AS p_max FROM lit JOIN seg_bound USING (segment_id) WHERE condition_id >= 2000 GROUP BY 1, 2", "lit", "seg_bound"))
 def f14(spark, sf_dir):
-    w = World(spark, sf_dir)
+    w = World(spark, sf_dir, pairs=True)
     got = pr.conjunctive_bounds(w.literals().where("condition_id >= 2000").join(w.bounds(), "segment_id"), "dataset", "condition_id")
     return got.withColumns({"p_min": r9("p_min"), "p_max": r9("p_max")})
 
 
 @query("f15_bound_average", sql("SELECT dataset, segment_id, round((p_min + p_max) / 2, 9) AS p FROM seg_bound", "seg_bound"))
 def f15(spark, sf_dir):
-    return World(spark, sf_dir).bounds().select("dataset", "segment_id", r9(pr.bound_average()).alias("p"))
+    return World(spark, sf_dir, pairs=True).bounds().select("dataset", "segment_id", r9(pr.bound_average()).alias("p"))
 
 
 _COND_P = "SELECT dataset, condition_id, product(g) AS p FROM (SELECT dataset, condition_id, group_no, 1 - product(1 - p) AS g FROM lit JOIN seg_uni USING (segment_id) GROUP BY 1, 2, 3) GROUP BY 1, 2"
@@ -205,7 +218,7 @@ def f17(spark, sf_dir):
 
 @query("k6_frequency_listing", sql("SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY p DESC, cp) ::INT AS ord, format('0x{:04x}, {:.10f}', cp, p) AS line FROM uni", "uni"))
 def k6(spark, sf_dir):
-    return fr.listing(World(spark, sf_dir).prob())
+    return fr.listing(fr.probabilities(World(spark, sf_dir).single()))
 
 
 @query("s5_union_of_shards", sql("SELECT cp1, cp2, sum(n)::BIGINT AS n FROM counts GROUP BY 1, 2", "counts"))

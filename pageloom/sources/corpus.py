@@ -18,7 +18,7 @@ RATIO = 0.5  # compressed size over raw size
 
 def codepoints(text: Column) -> Column:
     """The distinct codepoints of a text, sorted, as array<int>."""
-    return F.array_sort(F.transform(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")), lambda c: F.ascii(c)))
+    return F.array_sort(F.transform(F.filter(F.array_distinct(F.split(text, "")), lambda c: c != ""), lambda c: F.ascii(c)))
 
 
 def pages(spark, sf_dir: str) -> DataFrame:
@@ -29,13 +29,18 @@ def pages(spark, sf_dir: str) -> DataFrame:
 
 def page_codepoints(pages: DataFrame) -> DataFrame:
     """(page, dataset, cp); distinct within a page already, so nothing is shuffled."""
-    return pages.select("page", "dataset", F.explode("cps").alias("cp"))
+    # Explode would infer a filter on cps, below it, and make cps of the text a second time for it.
+    return pages.select("page", "dataset", F.explode_outer("cps").alias("cp")).where("cp is not null")
 
 
 def font(pages: DataFrame) -> DataFrame:
     """(cp, gid): the nominal map, glyphs numbered by codepoint. One row a codepoint of the corpus (Unicode bounds it)."""
-    seen = page_codepoints(pages).select("cp").distinct()
-    return seen.select("cp", F.row_number().over(W.orderBy("cp")).alias("gid"))
+    return number(page_codepoints(pages).select("cp"))
+
+
+def number(seen: DataFrame) -> DataFrame:
+    """(cp, gid) of seen(cp), where codepoints may repeat."""
+    return seen.distinct().select("cp", F.row_number().over(W.orderBy("cp")).alias("gid"))
 
 
 def segments(font: DataFrame) -> DataFrame:
